@@ -48,9 +48,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+# Spelled so that printable ASCII is refused by one range test, and so that a
+# single plain space between words, the common case, is not a match at all.
+_WS_NO_SPACE = WS_SET.replace("\\s", "\\t\\n\\f\\r")
+_RUN = f"(?=[^!-~])(?: {WS}+|[{_WS_NO_SPACE}]{WS}*)"
+_NOT_WS = f"[!-~[^{WS_SET}]]"
+
+
 def squeeze(col: Column) -> Column:
     """Whitespace runs become one space, ends trimmed; NULL becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), WS + "+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), _RUN, " "))
 
 
 def strip(col: Column) -> Column:
@@ -75,27 +82,22 @@ def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
-def decode_full(col: Column) -> Column:
-    """Decimal, hexadecimal and named entities, each distinct one replaced once."""
+def _decode_numeric(text: Column, pattern: str, digits_from: int, radix: int) -> Column:
+    """Replace each distinct numeric entity of the text once."""
 
-    def fold(text: Column, pattern: str, to_number) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-        return F.aggregate(found, text, to_number)
+    def swap(acc: Column, entity: Column) -> Column:
+        digits = F.regexp_extract(F.substring(entity, digits_from, 9), "^[0-9A-Fa-f]+", 0)
+        return F.replace(acc, entity, _code_point(F.conv(digits, radix, 10).cast("bigint")))
 
-    dec = fold(
-        col,
-        "&#([0-9]{1,7});",
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _code_point(n.cast("bigint"))),
-    )
-    hexed = fold(
-        dec,
-        "(&#[xX][0-9a-fA-F]{1,6};)",
-        lambda acc, e: F.replace(acc, e, _code_point(F.conv(F.substring(e, 4, 6), 16, 10).cast("bigint"))),
-    )
-    # One left-to-right pass over the text between entities, so a decoded '&' is not read again.
-    pieces = F.split(F.regexp_replace(hexed, "&([A-Za-z]+);", "\u0001$1\u0002"), "[\u0001\u0002]")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    return F.aggregate(found, text, swap)
+
+
+def _decode_named(text: Column) -> Column:
+    """One left-to-right pass, so that a decoded '&' is not read again."""
     table = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
-    named = F.array_join(
+    pieces = F.split(F.regexp_replace(text, "&([A-Za-z]+);", "\u0001$1\u0002"), "[\u0001\u0002]")
+    return F.array_join(
         F.transform(
             pieces,
             lambda piece, i: F.when(i % 2 == 0, piece).otherwise(
@@ -104,27 +106,31 @@ def decode_full(col: Column) -> Column:
         ),
         "",
     )
-    return F.when(F.contains(hexed, F.lit("&")), named).otherwise(hexed)
+
+
+def decode_full(col: Column) -> Column:
+    """Decimal, hexadecimal and named entities; text without '&' passes untouched."""
+    numeric = lambda t: F.when(
+        F.contains(t, F.lit("&#")),
+        let(
+            _decode_numeric(t, "(&#[0-9]{1,7};)", 3, 10),
+            lambda d: _decode_numeric(d, "(&#[xX][0-9a-fA-F]{1,6};)", 4, 16),
+        ),
+    ).otherwise(t)
+    return let(
+        col, lambda t: F.when(F.contains(t, F.lit("&")), let(numeric(t), _decode_named)).otherwise(t)
+    )
 
 
 def plain_html(col: Column) -> Column:
     """Text of an encyclopedia page fragment."""
-    text = col
-    for pattern in (
-        "(?is)<style.*?</style>",
-        "(?is)<script.*?</script>",
-        "(?is)<sup.*?</sup>",
-        '(?is)<table class="metadata.*?</table>',
-        "<[^>]+>",
-    ):
-        text = F.regexp_replace(text, pattern, " ")
-    return squeeze(F.when(F.contains(text, F.lit("&")), decode_full(text)).otherwise(text))
+    text = F.regexp_replace(col, "(?is)<style.*?</style>|<script.*?</script>", " ")
+    text = F.regexp_replace(text, '(?is)<sup.*?</sup>|<table class="metadata.*?</table>', " ")
+    return squeeze(decode_full(strip_tags(text)))
 
 
 def word_count(col: Column) -> Column:
-    text = squeeze(col)
-    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(text == "", F.lit(0)).otherwise(spaces + 1).cast("bigint")
+    return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(_NOT_WS + "+")).cast("bigint")
 
 
 def tag_count(html: Column, tag: str) -> Column:

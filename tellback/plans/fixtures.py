@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tellback.sources.tables import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+TEXT_TABLES = {"pages", "documents", "conversations"}
+
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
 
@@ -248,7 +252,8 @@ def with_views(names: list[str], *more: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

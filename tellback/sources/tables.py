@@ -10,6 +10,17 @@ from pyspark.sql import types as ST
 from tellback.functions.text import strip
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster's cores when the scan gives fewer tasks than cores.
+
+    Text work costs far more CPU per byte than a scan, so a few large row groups
+    would leave cores idle. A scan with enough splits (any large table) is left
+    as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def html_pages(pages: DataFrame) -> DataFrame:
     """Non-empty HTML pages; when a content type is known, text/html only."""
     kept = pages.filter((F.col("html").isNotNull()) & (F.col("html") != ""))
