@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tellback.plans import pages, sites  # noqa: F401
+from tellback.plans import delivery, facts, pages, sites, texts  # noqa: F401
 from tellback.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
