@@ -151,10 +151,14 @@ def delivery_eval_text(
     else:
         joined = joined.withColumn("alternate_names", F.lit(None).cast("array<string>"))
     names = F.transform(F.coalesce("alternate_names", F.array().cast("array<string>")), lambda n: T.comparable(n))
-    staged = joined.select(
-        *keys, "text", measured(F.col("text"), True).alias("said"),
-        F.filter(names, lambda n: n != "").alias("names"), F.explode("truth").alias("t"),
-    )
+    measured_once = joined.select(
+        *keys,
+        "text",
+        "truth",
+        measured(F.col("text"), True).alias("said"),
+        F.filter(names, lambda n: n != "").alias("names"),
+    )
+    staged = measured_once.select(*keys, "text", "said", "names", F.explode("truth").alias("t"))
     field, said = F.col("t.field"), F.col("said")
     in_text = lambda c: (c != "") & F.contains(said["cmp"], c)
     any_item = F.exists("t.items", lambda i: in_text(i["cmp"]) | (T.token_share(i["tok"], said["tok"]) >= 0.4))
