@@ -153,8 +153,9 @@ def source_profile(df: DataFrame) -> DataFrame:
         ),
     )
     total = F.size("_w")
+    # nine digits first: float noise of the sum must not decide a tie of the last digit
     mean = lambda of: F.round(
-        F.try_divide(F.aggregate("_w", F.lit(0.0).cast("double"), lambda acc, d: acc + of(d)), total), 4
+        F.round(F.try_divide(F.aggregate("_w", F.lit(0.0).cast("double"), lambda acc, d: acc + of(d)), total), 9), 4
     )
     count = lambda test: F.size(F.filter("_w", test)).cast("bigint")
     df = df.withColumns(

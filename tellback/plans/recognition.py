@@ -184,11 +184,11 @@ CITE_CTES = HINT_CTES + [
    coalesce(f.w, g.w) AS fit FROM ci1 c JOIN auth a ON a.t = c.type LEFT JOIN fit f ON f.a = c.archetype AND f.t = c.type JOIN fit g ON g.a = c.archetype AND g.t = 'default')""",
     """pr0 AS MATERIALIZED (SELECT a.*, coalesce(m.n, 0) AS citations_total, coalesce(m.o, 0) AS citations_official, m.* EXCLUDE (entity_id, engine) FROM fv_answers a LEFT JOIN (
     SELECT entity_id, engine, count(*) AS n, CAST(count_if(type = 'official') AS BIGINT) AS o, CAST(count_if(tier = 'high') AS BIGINT) AS th, CAST(count_if(tier = 'medium') AS BIGINT) AS tm, CAST(count_if(tier = 'low') AS BIGINT) AS tl,
-     round(sum(score) / count(*), 4) AS authority_average, round(sum(fit) / count(*), 4) AS fit_average, round(sum(fit * score) / count(*), 4) AS quality_average, CAST(count_if(fit >= 0.7) AS BIGINT) AS ex, CAST(count_if(fit < 0.45) AS BIGINT) AS offp FROM ci GROUP BY ALL) m USING (entity_id, engine))""",
+     round(round(sum(score) / count(*), 9), 4) AS authority_average, round(round(sum(fit) / count(*), 9), 4) AS fit_average, round(round(sum(fit * score) / count(*), 9), 4) AS quality_average, CAST(count_if(fit >= 0.7) AS BIGINT) AS ex, CAST(count_if(fit < 0.45) AS BIGINT) AS offp FROM ci GROUP BY ALL) m USING (entity_id, engine))""",
     """pr AS MATERIALIZED (SELECT p.* , e.archetype, coalesce(d.type, 'none') AS dominant_type, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN th >= tm AND th >= tl AND th > 0 THEN 'high' WHEN tm >= tl AND tm > 0 THEN 'medium' WHEN tl > 0 THEN 'low' ELSE 'none' END AS dominant_tier,
    CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN o = 0 AND e.archetype IN ('software_service', 'developer_tool', 'general_business') AND fit_average >= 0.55 THEN 'official_gap' WHEN fit_average >= 0.72 AND ex::DOUBLE / n >= 0.5 THEN 'strong' WHEN offp::DOUBLE / n >= 0.5 OR fit_average < 0.45 THEN 'off_pattern' ELSE 'mixed' END AS fit_status,
    CASE WHEN citations_total = 0 THEN 'none' WHEN citations_official = citations_total THEN 'official_only' WHEN citations_official = 0 THEN 'third_party_only' ELSE 'mixed' END AS source_mix
-  FROM pr0 p JOIN ent e USING (entity_id) LEFT JOIN (SELECT entity_id, engine, type FROM (SELECT entity_id, engine, type, row_number() OVER (PARTITION BY entity_id, engine ORDER BY count(*) DESC, min(pos)) AS rn FROM ci GROUP BY ALL) q WHERE rn = 1) d USING (entity_id, engine))""",
+  FROM pr0 p JOIN ent e USING (entity_id) LEFT JOIN (SELECT entity_id, engine, type FROM (SELECT entity_id, engine, type, row_number() OVER (PARTITION BY entity_id, engine ORDER BY count(*) DESC, min(pos)) AS rn FROM ci GROUP BY entity_id, engine, type) q WHERE rn = 1) d USING (entity_id, engine))""",
 ]
 
 

@@ -47,3 +47,14 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines of a text list; blank and '#' lines are dropped."""
     lines = spark.read.text(path).select(strip(F.col("value")).alias("url"))
     return lines.filter((F.col("url") != "") & ~F.col("url").startswith("#"))
+
+
+# The layout of a delivery log file.
+LOG_SCHEMA = """url string, engines map<string, struct<status: string, citation_level: string,
+ delivered: array<string>, missed: array<struct<field: string, signal: string, confidence: string>>,
+ subpages: array<struct<url: string, reached: string>>>>"""
+
+
+def delivery_logs(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of JSON logs with each record's file name, which orders runs of the same URL."""
+    return spark.read.schema(LOG_SCHEMA).json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
