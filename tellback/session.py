@@ -24,6 +24,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tellba
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
+        # call-site capture costs a JVM round trip per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TELLBACK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
