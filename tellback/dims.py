@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellback.functions.text import literal_map, quoted
+
 # Usual sub-page paths of a company site.
 USUAL_PATHS = [
     "/about",
@@ -187,13 +189,15 @@ def alias_rows(labels: dict[str, list[str]] | None = None) -> list[tuple[str, st
 
 def alias_map(labels: dict[str, list[str]] | None = None):
     """alias -> field as a literal map expression."""
-    return F.create_map(*[F.lit(x) for pair in alias_rows(labels) for x in pair])
+    return literal_map(alias_rows(labels))
 
 
 def small_table(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
     """A constant table, marked for broadcast; its size is fixed by this file."""
-    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
-    return F.broadcast(spark.range(1).select(F.inline(F.array(*structs))))
+    structs = [
+        "named_struct(" + ", ".join(f"{quoted(n)}, {quoted(v)}" for n, v in zip(names, row)) + ")" for row in rows
+    ]
+    return F.broadcast(spark.range(1).selectExpr("inline(array(" + ", ".join(structs) + "))"))
 
 # Words that carry no service meaning.
 STOP_WORDS = (

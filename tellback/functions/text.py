@@ -43,6 +43,25 @@ NAMED_ENTITIES = {
 }
 
 
+def quoted(value) -> str:
+    """A Python value as a SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, bool) or value is None:
+        return "null" if value is None else str(value).lower()
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def literal_list(values) -> Column:
+    """A constant array in one expression; long word lists stay one literal in the plan."""
+    return F.expr("array(" + ", ".join(quoted(v) for v in values) + ")")
+
+
+def literal_map(pairs) -> Column:
+    """A constant map in one expression."""
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in pairs) + ")")
+
+
 def let(value: Column, body) -> Column:
     """Bind a value once inside one expression, so its work is not repeated."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -95,7 +114,7 @@ def _decode_numeric(text: Column, pattern: str, digits_from: int, radix: int) ->
 
 def _decode_named(text: Column) -> Column:
     """One left-to-right pass, so that a decoded '&' is not read again."""
-    table = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+    table = literal_map(NAMED_ENTITIES.items())
     pieces = F.split(F.regexp_replace(text, "&([A-Za-z]+);", "\u0001$1\u0002"), "[\u0001\u0002]")
     return F.array_join(
         F.transform(
@@ -176,6 +195,8 @@ def any_contains(text: Column, needles: Column) -> Column:
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:
+    if len(needles) > 6:
+        return any_contains(text, literal_list(needles))
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
 
 

@@ -15,7 +15,7 @@ DOC_PREFIXES = "^(docs|developer|developers|support|help|kb|knowledgebase)\\."
 
 def _domain_map() -> Column:
     pairs = [(d, t) for t, ds in dims.SOURCE_DOMAINS.items() for d in ds]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    return T.literal_map(pairs)
 
 
 def source_of(url: Column, official_domain: Column) -> Column:
@@ -37,17 +37,17 @@ def source_of(url: Column, official_domain: Column) -> Column:
         return F.filter(F.concat(found, by_prefix), lambda t: t.isNotNull())
 
     def typed(h: Column) -> Column:
-        known = F.filter(F.array(*[F.lit(t) for t in PRECEDENCE]), lambda p: F.array_contains(types(h), p))
+        known = T.let(types(h), lambda ts: F.get(F.array_intersect(T.literal_list(PRECEDENCE), ts), 0))
         return (
             F.when(h == "", "unknown")
             .when(U.same_or_subdomain(h, official_domain), "official")
-            .otherwise(F.coalesce(F.get(known, 0), F.lit("unknown")))
+            .otherwise(F.coalesce(known, F.lit("unknown")))
         )
 
     def build(x: Column) -> Column:
         minor = (x["type"] == "wiki") & x["host"].rlike("(^|\\.)(" + "|".join(d.replace(".", "\\.") for d in dims.MINOR_WIKIS) + ")$")
-        tier = F.create_map(*[F.lit(v) for t, (tier, _) in dims.AUTHORITY.items() for v in (t, tier)])
-        score = F.create_map(*[F.lit(v) for t, (_, s) in dims.AUTHORITY.items() for v in (t, s)])
+        tier = T.literal_map((t, tier) for t, (tier, _) in dims.AUTHORITY.items())
+        score = T.literal_map((t, s) for t, (_, s) in dims.AUTHORITY.items())
         return F.struct(
             x["host"].alias("host"),
             x["type"].alias("type"),
@@ -97,7 +97,7 @@ def citation_metrics(df: DataFrame) -> DataFrame:
 def source_archetype(entities: DataFrame, text: str = "archetype_text") -> DataFrame:
     """Archetype with the most keyword hits; ties go to the earlier one, no hit is general business."""
     low = F.lower(F.col(text))
-    hits = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
+    hits = lambda words: F.size(F.filter(T.literal_list(words), lambda w: F.contains(low, w)))
     ranked = F.array(
         *[
             F.struct(hits(words).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("archetype"))
@@ -115,9 +115,7 @@ def source_archetype(entities: DataFrame, text: str = "archetype_text") -> DataF
 
 def weight_map() -> Column:
     """'archetype/type' -> fit weight."""
-    return F.create_map(
-        *[F.lit(v) for a, ws in dims.FIT_WEIGHTS.items() for t, w in ws.items() for v in (f"{a}/{t}", w)]
-    )
+    return T.literal_map((f"{a}/{t}", w) for a, ws in dims.FIT_WEIGHTS.items() for t, w in ws.items())
 
 
 def fit_weight(archetype: Column, source_type: Column) -> Column:

@@ -111,9 +111,8 @@ def negative_context(text: Column, field: Column) -> Column:
     A line that names another field does not count as the next one. Field names
     hold no line break, so whatever occurs in the text occurs on a line.
     """
-    names = F.create_map(
-        *[x for f, ns in dims.FIELD_MENTIONS.items() for x in (F.lit(f), F.array(*[F.lit(n) for n in ns]))]
-    )
+    lists = [f"{T.quoted(f)}, array({', '.join(T.quoted(n) for n in ns)})" for f, ns in dims.FIELD_MENTIONS.items()]
+    names = F.expr("map(" + ", ".join(lists) + ")")
     wanted = F.concat(
         F.coalesce(names[field], F.array().cast("array<string>")), F.array(F.replace(field, F.lit("_"), F.lit(" ")), field)
     )

@@ -27,7 +27,7 @@ def field_of_label(label: Column) -> Column:
 
 def normal_values(field: Column, value: Column) -> Column:
     """Accepted value(s) of a field as a list, NULL when the value is empty or too long."""
-    limits = F.create_map(*[F.lit(x) for pair in dims.MAX_VALUE_LENGTH.items() for x in pair])
+    limits = T.literal_map(dims.MAX_VALUE_LENGTH.items())
 
     def as_list(v: Column) -> Column:
         items = F.filter(
@@ -197,7 +197,7 @@ JSONLD_PROPERTY = {
 
 
 def eligible(docs: Column) -> Column:
-    wanted = F.array(*[F.lit(t) for t in dims.ENTITY_JSONLD_TYPES])
+    wanted = T.literal_list(dims.ENTITY_JSONLD_TYPES)
     return F.filter(docs, lambda d: F.arrays_overlap(J.types(d), wanted))
 
 

@@ -100,7 +100,7 @@ def payload_citations(df: DataFrame) -> DataFrame:
 
 
 def is_query(q: Column) -> Column:
-    noise = F.array(*[F.lit(n) for n in dims.QUERY_NOISE])
+    noise = T.literal_list(dims.QUERY_NOISE)
     return F.length(q).between(2, 200) & ~q.rlike("(?i)^https?://") & ~F.array_contains(noise, F.lower(q))
 
 

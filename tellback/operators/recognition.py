@@ -20,7 +20,7 @@ def _list(name: str) -> Column:
 def _service_hints(raw: Column, limit: int) -> Column:
     """Words of four or more letters that are no stop words; the first ``limit`` are the hint list."""
     words = F.split(F.lower(raw), f"[{T.WS_SET},.:;()\\-—/|]+")
-    stop = F.array(*[F.lit(w) for w in dims.STOP_WORDS])
+    stop = T.literal_list(dims.STOP_WORDS)
     kept = F.filter(
         words, lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w) & w.rlike("[a-z가-힣]")
     )
@@ -52,7 +52,7 @@ def entity_hints(entities: DataFrame) -> DataFrame:
         )
     )
     df = df.withColumn("anchor_terms", anchors)
-    generic = F.array(*[F.lit(g) for g in dims.GENERIC_TERMS])
+    generic = T.literal_list(dims.GENERIC_TERMS)
     service = F.col("service_hints")
     first_words = F.array_join(F.slice(service, 1, 3), ", ")
     return df.withColumns(
@@ -237,9 +237,8 @@ def accuracy_score(df: DataFrame) -> DataFrame:
     )
 
 
-def analyze(responses: DataFrame, hinted: DataFrame) -> DataFrame:
-    """Responses with citation metrics, joined to hinted entities and judged in one pass."""
-    joined = responses.join(hinted, "entity_id")
+def judge(joined: DataFrame) -> DataFrame:
+    """Responses that carry citation metrics and their entity's hints, judged in one pass."""
     return accuracy_score(recognition_status(fact_check(recognition_context(hint_matches(joined)))))
 
 
@@ -326,8 +325,8 @@ def task_grid(entities: DataFrame, chatgpt_recall: bool = False, key: str = "ent
                 priority = dims.MODE_PRIORITY[(mode, intent)] + dims.ENGINE_PRIORITY[engine]
                 cells.append((mode, intent, engine, kind, priority, m * 9 + i * 3 + e))
     names = ("mode", "intent", "engine", "kind", "priority", "cell")
-    grid = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(c, names)]) for c in cells])
-    return entities.select(key, F.inline(grid))
+    rows = ["named_struct(" + ", ".join(f"{T.quoted(n)}, {T.quoted(v)}" for n, v in zip(names, c)) + ")" for c in cells]
+    return entities.selectExpr(key, "inline(array(" + ", ".join(rows) + "))")
 
 
 def task_topk(grid: DataFrame, cached: DataFrame | None = None, most: int = 7, key: str = "entity_id") -> DataFrame:

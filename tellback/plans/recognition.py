@@ -87,20 +87,19 @@ def cited(spark, sf_dir):
 
 def measured(spark, sf_dir):
     """Answers with citation metrics and source profile, joined to their entity."""
-    known = hinted(spark, sf_dir)
-    own = known.select("entity_id", "official_domain", "archetype")
-    df = cited(spark, sf_dir).join(own, "entity_id")
-    df = C.citation_metrics(C.citation_details(df))
-    df = C.source_profile(df)
+    return _measure(cited(spark, sf_dir).join(hinted(spark, sf_dir), "entity_id"))
+
+
+def _measure(df):
+    df = C.source_profile(C.citation_metrics(C.citation_details(df)))
     return df.withColumn(
         "grounded", (F.col("citations_total") > 0) | (F.size("search_queries") > 0) | F.col("tool_calls").isNotNull()
     )
 
 
 def judged(spark, sf_dir):
-    known = hinted(spark, sf_dir).drop("archetype", "archetype_hits")
-    df = C.query_coverage(measured(spark, sf_dir)).drop("official_domain")
-    return R.analyze(df, known)
+    """Answers joined to their hinted entity once, then measured and judged in the same pass."""
+    return R.judge(C.query_coverage(measured(spark, sf_dir)))
 
 
 # --- entity hints ------------------------------------------------------------------
