@@ -242,28 +242,27 @@ def findings(per_answer: DataFrame, features: DataFrame) -> DataFrame:
 def blockage_catalog(found: DataFrame, samples: int = 5) -> DataFrame:
     """Per engine and finding: frequency, fields, example evidence, lowest-rate pages.
 
-    Fields and evidence are small closed sets. Sample pages come from a rank
-    limit, so no group of pages is ever collected whole.
+    Rows are first reduced to one per evidence text, a small closed set, so the
+    few (engine, finding) groups never see the rows themselves. Sample pages come
+    from a rank limit. ``found`` is read twice; pass a stored table.
     """
     keys = ["engine", "finding_id"]
-    counted = found.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("frequency"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("fields")))).alias("fields"),
-    )
-    evidence = found.groupBy(*keys, "evidence").agg(F.min("page_id").alias("first"))
-    w_e = Window.partitionBy(*keys).orderBy("first", "evidence")
-    examples = (
-        evidence.withColumn("n", F.row_number().over(w_e))
-        .filter(F.col("n") <= samples)
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "evidence"))), lambda s: s["evidence"]).alias("examples"))
+    per_evidence = found.groupBy(*keys, "evidence").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("page_id").alias("first"),
+        *[F.bool_or(F.array_contains("fields", f)).alias(f"_{f}") for f in dims.FIELDS],
+    )
+    fields = F.array_sort(F.array_compact(F.array(*[F.when(F.bool_or(f"_{f}"), F.lit(f)) for f in dims.FIELDS])))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("first", "evidence"))), lambda s: s["evidence"])
+    counted = per_evidence.groupBy(*keys).agg(
+        F.sum("n").alias("frequency"), fields.alias("fields"), F.slice(texts, 1, samples).alias("examples")
     )
     pages = (
         review_samples(found, samples)
         .groupBy(*keys)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page_id"))), lambda s: s["page_id"]).alias("sample_pages"))
     )
-    return counted.join(examples, keys).join(pages, keys)
+    return counted.join(pages, keys)
 
 
 def review_samples(found: DataFrame, samples: int = 5) -> DataFrame:

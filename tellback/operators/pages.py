@@ -33,7 +33,7 @@ def body_text(html: Column, keep_lines: bool = False, limit: int | None = None)
     if keep_lines:
         blanks = T.WS_SET.replace("\\s", " \\t\\r\\f")
         out = F.regexp_replace(out, f"[{blanks}]+", " ")
-        out = F.trim(F.regexp_replace(out, " ?\n[ \n]*", "\n"))
+        out = T.strip(F.regexp_replace(out, " ?\n[ \n]*", "\n"))
     else:
         out = T.squeeze(out)
     return out if limit is None else F.substring(out, 1, limit)

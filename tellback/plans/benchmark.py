@@ -14,6 +14,7 @@ from tellback.plans import osql as O
 from tellback.plans import pages as PP
 from tellback.plans.fixtures import _view, table, view
 from tellback.plans.registry import query
+from tellback.sources.sinks import store
 
 B = chr(92)
 
@@ -294,7 +295,7 @@ def pattern_findings(spark, sf_dir):
     FIND_CTES,
 )
 def blockage_catalog(spark, sf_dir):
-    return A.blockage_catalog(found(spark, sf_dir))
+    return A.blockage_catalog(store(found(spark, sf_dir), "findings"))
 
 
 @query(

@@ -136,22 +136,18 @@ def delivery_rates(spark, sf_dir):
 
 @query(
     "array_fuzzy_match",
-    [],
-    f"""SELECT b.item_id, n.n_name, bool_or({O.hold_each_other('lc', 'rc')} OR {O.token_share(O.tokens('lc'), O.tokens('rc'))} >= 0.4) AS matched
-  FROM (SELECT item_id, {O.comparable('w', False)} AS lc FROM (SELECT item_id, unnest(string_split(text, '. ')) AS w FROM benchmark) a) b
-  CROSS JOIN (SELECT n_name, {O.comparable('v', False)} AS rc FROM (SELECT n_name, unnest([n_name, n_name || ' the of']) AS v FROM nation) c) n GROUP BY ALL""",
+    ["fv_truth", "fv_extract"],
+    f"""SELECT page_id, engine, bool_or(coalesce({O.hold_each_other('ac', 'bc')} OR {O.token_share(O.tokens('ac'), O.tokens('bc'))} >= 0.4, false)) AS matched
+  FROM te LEFT JOIN (SELECT page_id, engine, field, ac, bc FROM tpair) p USING (page_id, engine, field) WHERE te.field = 'key_products' GROUP BY page_id, engine""",
+    EVAL_CTES[:-3],
 )
 def array_fuzzy_match(spark, sf_dir):
-    # Nations are a fixed 25-row dimension, so the pairing is bounded by the other side.
-    left = table(spark, sf_dir, "benchmark").select(
-        "item_id", F.transform(F.split("text", "\\. "), lambda v: D.measured(v, False)).alias("a")
-    )
-    right = table(spark, sf_dir, "nation").select(
-        "n_name",
-        F.transform(F.array("n_name", F.concat("n_name", F.lit(" the of"))), lambda v: D.measured(v, False)).alias("b"),
-    )
-    return left.join(F.broadcast(right)).select(
-        "item_id", "n_name", D.fuzzy_any(F.col("a"), F.col("b")).alias("matched")
+    # declared against extracted products of the same page
+    measure = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: D.measured(v, False))
+    left = truth(spark, sf_dir).filter("field = 'key_products'").select("page_id", measure(F.col("values")).alias("a"))
+    right = parsed(spark, sf_dir).filter("field = 'key_products'").select("page_id", "engine", measure(F.col("values")).alias("b"))
+    return left.join(right, "page_id").select(
+        "page_id", "engine", F.coalesce(D.fuzzy_any(F.col("a"), F.col("b")), F.lit(False)).alias("matched")
     )
 
 

@@ -6,6 +6,8 @@ some to every page by a fixed rule. Each view grows with the table it reads.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tellback.sources.tables import spread
@@ -256,9 +258,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+_CONSTANT_ROWS = re.compile(r"CROSS JOIN \(VALUES (.*?)\) AS (\w+)\(([^)]*)\)", re.S)
+
+
+def _inline_rows(sql: str) -> str:
+    """Constant VALUES rows as an in-place expansion: no join, no broadcast in the Spark plan."""
+
+    def swap(match: re.Match) -> str:
+        rows, alias, names = match.groups()
+        structs = re.sub(r"\(", "struct(", rows)
+        return f"LATERAL VIEW inline(array({structs})) {alias} AS {names}"
+
+    return _CONSTANT_ROWS.sub(swap, sql)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the parquet tables it reads."""
-    parts = [f"{n} AS ({VIEWS[n][1].strip()})" for n in closure([name])]
+    parts = [f"{n} AS ({_inline_rows(VIEWS[n][1].strip())})" for n in closure([name])]
     text = "\n".join(parts)
     for t in TABLES:
         if f"FROM {t}" in text or f"JOIN {t}" in text:

@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write rows once to the shared place and read them back, for results that are read more than once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tables(tables: dict[str, DataFrame], root: str, kind: str = "parquet") -> dict[str, str]:
     """Each named result as one folder of files, written in parallel by its tasks."""
     paths = {}

@@ -2,9 +2,8 @@
 
 A window opens with the first request after the previous one ended, so windows
 depend on each other in time order. The batch job keeps that chain short: a key's
-distinct milliseconds are gathered per time bucket of one window length (bounded
-by the window, whatever the traffic), and only those arrays pass through the
-ordered step. Requests are then matched to windows by (key, bucket), so a hot
+distinct milliseconds are gathered per two-second piece of time (at most 2,000 of
+them, whatever the traffic), and only those arrays pass through the ordered step. Requests are then matched to windows by (key, bucket), so a hot
 key is spread over its buckets.
 """
 
@@ -18,11 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ANCHORS = "key string, anchor long"
+# Length of the pieces of time that pass the ordered step; it bounds a row there.
+PIECE_MS = 2_000
 
 
 def _chain(window_ms: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come ordered by key and bucket; state is the end of the key's open window."""
+        """Rows come ordered by key and piece; state is the end of the key's open window."""
         key, end = None, None
         for batch in batches:
             keys: list[str] = []
@@ -45,7 +46,7 @@ def _chain(window_ms: int):
 
 def anchors(events: DataFrame, window_ms: int) -> DataFrame:
     """Window starts per key. ``events`` has key (string) and ms (long)."""
-    bucket = F.floor(F.col("ms") / window_ms)
+    bucket = F.floor(F.col("ms") / PIECE_MS)
     # distinct milliseconds first: partial aggregation removes repeats before the shuffle
     moments = (
         events.select("key", bucket.alias("bucket"), "ms")
