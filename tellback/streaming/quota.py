@@ -128,6 +128,11 @@ def quota_processor(window_ms: int, most: int, order: str):
 
 def quota_stream(events: DataFrame, window_ms: int, most: int, order: str) -> DataFrame:
     """Streaming quota decisions. Requests of a key are expected in time order across batches."""
+    # this kind of state needs the RocksDB store; state files follow the query's checkpoint folder
+    events.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     schema = f"key string, {order} long, request_no long, allowed boolean, remaining long, reset_seconds long"
     return events.groupBy("key").transformWithStateInPandas(
         statefulProcessor=quota_processor(window_ms, most, order),
