@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellback.llm import language_id, quality, util
+from tellback.llm import decontaminate, language_id, ngram_join, packing, quality, util
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,36 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("_language.lang") != language_id.UNKNOWN) & (F.col("_language.score") >= 0.5)).drop("_language")
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of five-word shingles at a similarity of 0.75 form, the document with the smallest id stays.
+
+    Rows that repeat an id and a text stay once. Documents without an id stay.
+    """
+    groups = ngram_join.similar_groups(docs)
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
+    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name="_leaks")
+    return found.where(F.size("_leaks") == 0).drop("_leaks")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents that are left, as pieces of sequences of at most 2048 tokens."""
+    return packing.packed(docs)
+
+
 STAGES = [
     ("quality", quality_stage),
     ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
 #: Trees, alignments and packing are no SQL; tests/llm compares with brute force.
