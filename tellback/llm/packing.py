@@ -144,7 +144,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, en
             return _windows(stream, ends, done), _rest(stream, int(ends[-1])), done + len(ends)
 
         held, held_size = [stream], 0
-        for batch in util.slices(batches, "text"):
+        for batch in util.slices(batches, "text", tokens.SLICE_BYTES):
             ids, offsets = encoder.documents(batch.column(1), end_id)
             own = batch.column(0)
             size = np.diff(offsets)

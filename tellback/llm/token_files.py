@@ -149,7 +149,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     def tokenize(batches):
         encoder = tokens.Encoder.of(where)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        for batch in util.slices(batches, "text"):
+        for batch in util.slices(batches, "text", tokens.SLICE_BYTES):
             ids, offsets = encoder.documents(batch.column(1), end_id)
             raw, width = ids.astype(kind).tobytes(), int(kind[-1])
             parts = [raw[a * width : b * width] for a, b in zip(offsets[:-1], offsets[1:])]

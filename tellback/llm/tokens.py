@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that are encoded at once; larger than elsewhere, as a word is looked up once in each slice.
+SLICE_BYTES = 1 << 22
 #: Words whose ids a worker remembers; when there are more, it starts anew.
 REMEMBERED = 700_000
 #: A mark other than an apostrophe and the characters of special tokens is never part of the letters before it.
