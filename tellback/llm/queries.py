@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellback.llm import decontaminate, html_text, language_id, licenses, ngram_join, packing, quality, token_files, url_filter
+from tellback.llm import decontaminate, html_text, language_id, licenses, neighbours, ngram_join, packing, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ ORACLES["op6_license_scan"] = licenses.oracle()
 @register
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.searched(vectors, vectors.where("vec_id % 20 = 0"))
