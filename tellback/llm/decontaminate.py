@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-grams of test items find passages, Smith-Waterman alignment scores them.
 
 The benchmark is read in blocks of bounded size; a block's n-grams and words are broadcast, so that no text is shuffled. One pass counts in
-how many documents each n-gram of the items stands. The seeds of an item are its n-grams that are no more frequent than its
-median one: at least half of them, also when the whole item is in many documents. A second pass looks the seeds up; each hit gives a
+how many documents each n-gram of the items stands. The seeds of an item are its n-grams that stand in at most COMMON of all documents or are
+no more frequent than its median one: at least half of those that occur, also when the whole item is in many documents. A second pass looks the seeds up; each hit gives a
 diagonal, near diagonals make one window, and the window is aligned with the whole item.
 """
 
@@ -22,6 +22,7 @@ SEED_WORDS = 3
 #: Shorter items say nothing: their words stand together by chance.
 LEAST_WORDS = 8
 THRESHOLD = 0.4
+COMMON = 0.01
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Text bytes of the items that are broadcast at once; more items take more passes.
 BLOCK_BYTES = 8 << 20
@@ -57,13 +58,14 @@ class Items:
         empty = [np.zeros(0, np.uint64)]
         return cls([ids[k] for k in keep], np.concatenate(parts + empty), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), *_index(np.concatenate(grams + empty), np.repeat(np.arange(len(keep)), counts), np.concatenate([np.arange(c) for c in counts] + [np.zeros(0, np.int64)])))
 
-    def rare(self, documents: np.ndarray) -> Items:
-        """Only the seeds whose number of documents is at most the median of their item."""
+    def rare(self, documents: np.ndarray, total: int) -> Items:
+        """Only the seeds that occur, in at most COMMON of all documents or no more than the median one of their item."""
         each = np.repeat(documents, np.diff(self.begin))
         keep = np.zeros(len(self.item), bool)
         for k in range(len(self.ids)):
             own = np.flatnonzero(self.item == k)
-            keep[own] = each[own] <= np.median(each[own])
+            own = own[each[own] > 0]
+            keep[own] = each[own] <= max(np.median(each[own]) if len(own) else 0, COMMON * total)
         hashes = np.repeat(self.hashes, np.diff(self.begin))[keep]
         return Items(self.ids, self.words, self.first, *_index(hashes, self.item[keep], self.place[keep]))
 
@@ -178,20 +180,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", name
         every = spark.sparkContext.broadcast(items)
 
         def count(batches, every=every):
-            total = np.zeros(len(every.value.hashes), np.int64)
+            total, rows = np.zeros(len(every.value.hashes), np.int64), 0
             for batch in util.slices(batches, "text"):
+                rows += batch.num_rows
                 words, first, _, _ = _words(batch.column(0))
                 at, seed = every.value.find(util.shingle_hashes(words, SEED_WORDS))
                 doc = np.searchsorted(first, at, side="right") - 1
                 pair = np.unique((doc * len(total) + seed)[at + SEED_WORDS <= first[doc + 1]])
                 total += np.bincount(pair % len(total), minlength=len(total))
             used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["seed", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["seed", "n"])
 
         counted = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-        documents = np.zeros(len(items.hashes), np.int64)
+        documents = np.zeros(len(items.hashes) + 1, np.int64)  # at -1 all documents
         documents[counted["seed"].to_numpy()] = counted["n"].to_numpy()
-        rare = spark.sparkContext.broadcast(items.rare(documents))
+        rare = spark.sparkContext.broadcast(items.rare(documents[:-1], int(documents[-1])))
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("word", pa.int64())]))
 
         def judge(values, rare=rare):
