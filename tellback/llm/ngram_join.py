@@ -7,12 +7,13 @@ seventh of both sizes together (at a similarity of 0.75), and so leaves cells un
 * Documents with one set of shingles are one node; nodes are named by a hash of their set.
 * Sizes are in bands of factor two; a node stands in its own band and, near the upper end, in the next one too, so that all
   sizes that can link meet in a band. A band has enough cells that a pair at the threshold shares at least ``SHARED``
-  non-empty cells on average; the chance to share none is below 1e-9, like that of equal hashes.
-* Below 64 shingles each shingle is a cell of its own, and a node enters with the cells that fewest nodes have, one more than
-  the symmetric difference can touch: this pigeonhole never misses, and common lines do not gather nodes.
+  non-empty cells on average; the chance to share ``SPARE`` or fewer is below 1e-9, like that of equal hashes.
+* Below 64 shingles each shingle is a cell of its own, and a node enters with the cells that fewest nodes have, so many that
+  linked nodes share ``SPARE_SMALL`` + 1 of them: this pigeonhole never misses, and common lines do not gather nodes.
 * Nodes meet by an equi join on (band, cell, value). Cells that at most ``FEW`` nodes share give all their pairs; in
-  larger ones each node meets the first. Pairs that are still in different groups then meet in blocks of a cell, which yield only
-  pairs whose bit sketches are near enough.
+  larger ones each node meets the first. A large cell whose nodes are in one group by then is done, and a node with no more than
+  ``SPARE`` others has met each partner in a smaller cell. What is left meets in blocks of a cell, which yield only pairs whose
+  bit sketches are near enough.
 * Bit sketches (one bit per shingle, XORed) give a lower bound of the symmetric difference and discard most false pairs; the
   rest is verified on the whole sets. Groups come from rounds of star contraction on Spark tables.
 """
@@ -35,7 +36,8 @@ SIMILAR, OF = 75, 100
 SMALL = 64
 #: Largest size that can link with one below SMALL.
 SMALL_TOP = (SMALL - 1) * OF // SIMILAR
-SHARED = 25
+SHARED = 45
+SPARE, SPARE_SMALL = 8, 2
 FEW = 32
 BLOCK = 128
 #: Bits of the filter in front of the exact join with candidates.
@@ -85,7 +87,8 @@ def cell_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     entry = (place[first] >> np.uint64(36)).astype(np.int64)
     tag = np.array(band, np.uint64)[entry] << np.uint64(48) | place[first] & np.uint64((1 << 36) - 1)
-    return util.mix(np.bitwise_xor.reduceat(values, first) ^ util.mix(tag)).view(np.int64), np.array(owner)[entry]
+    keys = util.mix(np.bitwise_xor.reduceat(values, first) ^ util.mix(tag)) & ~np.uint64(1)  # even: large sets
+    return keys.view(np.int64), np.array(owner)[entry]
 
 
 def bit_sketch(values: np.ndarray) -> bytes:
@@ -158,12 +161,12 @@ def _large_keys(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _small_keys(rows: DataFrame) -> DataFrame:
-    """The rarest shingles of each small set, one more than a linked set can lack."""
-    single = rows.where(F.col("small").isNotNull()).groupBy("node").agg(F.max("small").alias("small")).select("node", F.explode("small").alias("key"))
+    """The rarest shingles of each small set, SPARE_SMALL + 1 more than a linked set can lack. Sets of one or two link with no other."""
+    single = rows.where(F.size("small") > 2).groupBy("node").agg(F.max("small").alias("small")).select("node", F.explode("small").alias("key"))
     counts = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rare = single.join(counts, "key", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key"))).alias("all"))
-    picked = F.slice("all", 1, F.floor(F.size("all") * (OF - SIMILAR) / OF).cast("int") + 1)
-    return rare.select("node", F.explode(F.filter(picked, lambda x: x["n"] > 1)).alias("x")).select(F.xxhash64("x.key", F.lit("small")).alias("key"), "node")
+    picked = F.slice("all", 1, F.floor(F.size("all") * (OF - SIMILAR) / OF).cast("int") + 1 + SPARE_SMALL)
+    return rare.select("node", F.explode(F.filter(picked, lambda x: x["n"] > 1)).alias("x")).select(F.xxhash64("x.key", F.lit("small")).bitwiseOR(F.lit(1)).alias("key"), "node")
 
 
 def _meet(keys: DataFrame) -> DataFrame:
@@ -317,6 +320,12 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def _in_blocks(members: DataFrame, groups: DataFrame, contents: DataFrame) -> DataFrame:
     """Near pairs of different groups within large cells (key, node). Cells with the same nodes count once."""
     rooted = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    for _ in range(3):  # each time fewer nodes make more cells be done
+        open_cells = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        rooted = rooted.join(open_cells.select("key"), "key", "left_semi")
+        small = F.col("key").bitwiseAND(F.lit(1))
+        busy = rooted.groupBy("node").agg(F.sum(small).alias("small"), F.sum(1 - small).alias("large")).where((F.col("small") > SPARE_SMALL) | (F.col("large") > SPARE))
+        rooted = util.stored(rooted.join(busy.select("node"), "node", "left_semi"), "open")
     sizes = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.expr("bit_xor(xxhash64(node))").alias("same")).where("low != high")
     sizes = sizes.groupBy("size", "same").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = (
