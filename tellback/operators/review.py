@@ -12,9 +12,10 @@ SIGNALS = {"jsonld_only": "jsonld_only", "dual_source_missed": "dual"}
 
 
 def latest_log(logs: DataFrame) -> DataFrame:
-    """Newest file per URL. A max aggregate combines before the shuffle, so a hot URL stays cheap."""
+    """Newest file per URL with all its columns. The aggregate combines before the shuffle, so a hot URL stays cheap."""
     rest = [c for c in logs.columns if c not in ("url", "file_name")]
-    return logs.groupBy("url").agg(F.max(F.struct("file_name", *rest)).alias("l")).select("url", "l.*")
+    newest = F.max_by(F.struct("file_name", *rest), "file_name")  # maps have no order, the file name has
+    return logs.groupBy("url").agg(newest.alias("l")).select("url", "l.*")
 
 
 def explode_engines(logs: DataFrame) -> DataFrame:

@@ -162,10 +162,7 @@ def logs(spark, sf_dir):
 
 
 def newest(spark, sf_dir):
-    # maps cannot be ordered, so the newest file is found first and its engines are looked up by equality
-    all_logs = logs(spark, sf_dir)
-    latest = V.latest_log(all_logs.select("url", "file_name"))
-    return V.explode_engines(all_logs.join(latest, ["url", "file_name"]))
+    return V.explode_engines(V.latest_log(logs(spark, sf_dir)))
 
 
 LOG_CTES = [
@@ -176,16 +173,14 @@ LOG_CTES = [
 
 @query("latest_log_per_url", ["fv_log_answers"], "SELECT DISTINCT url, file_name FROM la", LOG_CTES[:1])
 def latest_log_per_url(spark, sf_dir):
-    return V.latest_log(view(spark, sf_dir, "fv_log_answers").select("url", "file_name"))
+    return V.latest_log(logs(spark, sf_dir)).select("url", "file_name")
 
 
-@query(
-    "delivery_engine_stats",
-    ["fv_log_answers"],
-    """SELECT engine, count(*) AS urls, CAST(count_if(status = 'success') AS BIGINT) AS urls_ok, CAST(sum(CASE WHEN status = 'success' THEN len(d) ELSE 0 END) AS BIGINT) AS fields_delivered, CAST(sum(CASE WHEN status = 'success' THEN len(d) + len(m) ELSE 0 END) AS BIGINT) AS fields_total,
-  round(sum(CASE WHEN status = 'success' THEN len(d) ELSE 0 END) * 100.0::DOUBLE / sum(CASE WHEN status = 'success' THEN len(d) + len(m) ELSE 0 END), 1) AS delivery_pct FROM lm GROUP BY engine""",
-    LOG_CTES,
-)
+ENGINE_STATS_SQL = """SELECT engine, count(*) AS urls, CAST(count_if(status = 'success') AS BIGINT) AS urls_ok, CAST(sum(CASE WHEN status = 'success' THEN len(d) ELSE 0 END) AS BIGINT) AS fields_delivered, CAST(sum(CASE WHEN status = 'success' THEN len(d) + len(m) ELSE 0 END) AS BIGINT) AS fields_total,
+  round(sum(CASE WHEN status = 'success' THEN len(d) ELSE 0 END) * 100.0::DOUBLE / sum(CASE WHEN status = 'success' THEN len(d) + len(m) ELSE 0 END), 1) AS delivery_pct FROM lm GROUP BY engine"""
+
+
+@query("delivery_engine_stats", ["fv_log_answers"], ENGINE_STATS_SQL, LOG_CTES)
 def delivery_engine_stats(spark, sf_dir):
     return V.engine_stats(newest(spark, sf_dir))
 
@@ -391,21 +386,23 @@ def quota_windows_stream(spark, sf_dir):
     return spark.read.parquet(f"{out}/table").drop("version")
 
 
-@query(
-    "log_stream_latest",
-    [],
-    "SELECT 'u' || user_id AS url, CAST(max(event_id) AS VARCHAR) AS last_event, count(*) AS events FROM events GROUP BY user_id",
-)
-def log_stream_latest(spark, sf_dir):
-    """Newest record per key as a running aggregate over the events file."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = J.file_stream(spark, f"{sf_dir}/events*.parquet", schema, "parquet")
-    latest = stream.groupBy(F.concat(F.lit("u"), "user_id").alias("url")).agg(
-        F.max("event_id").cast("string").alias("last_event"), F.count(F.lit(1)).alias("events")
-    )
+def arrived(spark, sf_dir):
+    """Latest log per URL, kept by a stream over a folder of log files that arrive in several batches."""
     out = K.shared_folder(spark, "latest")
-    J.keep_table(latest, f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return J.newest_version(spark, f"{out}/table")
+    logs(spark, sf_dir).select("url", "file_name", "engines").repartition(6).write.json(f"{out}/logs")
+    stream = J.file_stream(spark, f"{out}/logs", f"{ST.LOG_SCHEMA}, file_name string", files_per_batch=2)
+    J.keep_latest(J.latest_log_stream(stream), f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return J.latest_rows(spark, f"{out}/table", "url")
+
+
+@query("log_stream_latest", ["fv_log_answers"], "SELECT url, file_name, engine, status, citation_level FROM la", LOG_CTES[:1])
+def log_stream_latest(spark, sf_dir):
+    return V.explode_engines(arrived(spark, sf_dir)).select("url", "file_name", "engine", "status", "citation_level")
+
+
+@query("log_stream_stats", ["fv_log_answers"], ENGINE_STATS_SQL, LOG_CTES)
+def log_stream_stats(spark, sf_dir):
+    return V.engine_stats(V.explode_engines(arrived(spark, sf_dir)))
 
 
 @query(
@@ -476,13 +473,10 @@ def sink_tables(spark, sf_dir):
 )
 def sink_batch_snapshots(spark, sf_dir):
     path = K.write_batch_snapshots(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", 10, K.shared_folder(spark, "batches"))
-    from pyspark.sql import Window
-
-    per = spark.read.parquet(path).groupBy(F.col("batch").cast("bigint").alias("batch")).agg(
-        F.count(F.lit(1)).alias("written"), F.max("page_id").alias("last_id")
+    # rows are numbered through all batches, so the last number of a batch is the size of its snapshot
+    return spark.read.parquet(path).groupBy("batch").agg(
+        F.count(F.lit(1)).alias("written"), F.max("page_id").alias("last_id"), F.max("row_no").alias("snapshot_rows")
     )
-    # one row per batch here
-    return per.withColumn("snapshot_rows", F.sum("written").over(Window.orderBy("batch")))
 
 
 @query(

@@ -25,6 +25,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tellba
         )
         # call-site capture costs a JVM round trip per column expression
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.tellback.textTasks", str(os.cpu_count() if cpus == "*" else cpus))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TELLBACK_DRIVER_MEMORY", "8g"))
         .getOrCreate()

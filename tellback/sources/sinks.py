@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):  # one process, so its folder is shared by all tasks
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tellback-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -51,23 +52,31 @@ def number_rows(df: DataFrame, order: str, root: str) -> DataFrame:
     placed.write.mode("overwrite").parquet(f"{root}/ranged")
     kept = df.sparkSession.read.parquet(f"{root}/ranged")
     counts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.alias("b").join(F.broadcast(counts).alias("a"), F.col("a._part") < F.col("b._part"), "left")
-    offsets = before.groupBy(F.col("b._part").alias("_part")).agg(F.coalesce(F.sum("a._n"), F.lit(0)).alias("_before"))
-    # one row per partition of the table
+    # one row per partition of the table, so the running sum is short
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     return kept.join(F.broadcast(offsets), "_part").withColumn("row_no", F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
-def write_batch_snapshots(df: DataFrame, order: str, size: int, root: str) -> str:
-    """Rows in order, ``size`` per batch, stored once per batch; the snapshot after batch n is batches 1..n."""
+def write_batch_snapshots(df: DataFrame, order: str, size: int, root: str, batches_per_folder: int = 100_000) -> str:
+    """Rows in order, ``size`` per batch, stored once; the snapshot after batch n is batches 1..n.
+
+    ``batch`` is a column of sorted files, so a reader of some batches skips the rest by their statistics; a folder holds
+    a range of batches.
+    """
     numbered = number_rows(df, order, root).withColumn("batch", F.ceil(F.col("row_no") / size).cast("bigint"))
     path = f"{root}/batches"
-    numbered.repartitionByRange("batch").write.mode("overwrite").partitionBy("batch").parquet(path)
+    ranged = numbered.withColumn("batches", F.floor(F.col("batch") / batches_per_folder)).repartitionByRange("batch")
+    ranged.sortWithinPartitions("batches", "batch").write.mode("overwrite").partitionBy("batches").parquet(path)
     return path
 
 
 def write_site_logs(logs: DataFrame, path: str, site: str = "host") -> None:
-    """JSON log records, one folder per site. A big site is written by several tasks."""
-    logs.write.mode("overwrite").partitionBy(site).json(path)
+    """JSON log records, one folder per site.
+
+    Small sites share a task and large ones are split over several, so there are few files per site.
+    """
+    logs.hint("rebalance", site).write.mode("overwrite").partitionBy(site).json(path)
 
 
 def write_text_report(lines: DataFrame, path: str, order: list[str], text: str = "line") -> None:

@@ -10,15 +10,13 @@ from pyspark.sql import types as ST
 from tellback.functions.text import strip
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cluster's cores when the scan gives fewer tasks than cores.
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt to ``tasks`` tasks when a number is given.
 
-    Text work costs far more CPU per byte than a scan, so a few large row groups
-    would leave cores idle. A scan with enough splits (any large table) is left
-    as it is, without a shuffle.
+    Text work costs far more CPU per byte than a scan, and a small table in one row group is one task. Large tables
+    need no such step: ``spark.sql.files.maxPartitionBytes`` splits their scan without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(tasks) if tasks else df
 
 
 def html_pages(pages: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ def latest_log_stream(logs: DataFrame) -> DataFrame:
     return latest_log(logs)
 
 
-def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Write every result table as a numbered version; readers take the newest.
+def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Write the result rows of each batch as a numbered version.
 
     A version folder is written whole before the next batch, so a lost executor
     or a restart rewrites the same folder and changes nothing else.
@@ -40,10 +40,21 @@ def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "compl
     )
 
 
-def newest_version(spark: SparkSession, path: str) -> DataFrame:
+def keep_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A running aggregate as a log of changes: each batch writes the keys it touched."""
+    return keep_table(stream, path, checkpoint, "update")
+
+
+def latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last row written for each key. Aggregates combine before the shuffle."""
     df = spark.read.parquet(path)
-    newest = df.agg(F.max("version").alias("version"))
-    return df.join(F.broadcast(newest), "version").drop("version")
+    rest = [c for c in df.columns if c not in (key, "version")]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("l")).select(key, "l.*")
+
+
+def compact(spark: SparkSession, path: str, key: str, target: str) -> None:
+    """Rewrite a log of changes as one version per key in a new folder, between runs of the stream."""
+    latest_rows(spark, path, key).withColumn("version", F.lit(-1)).write.partitionBy("version").parquet(target)
 
 
 def incremental_ingest(stream: DataFrame, good: str, bad: str, checkpoint: str, reason) -> StreamingQuery:

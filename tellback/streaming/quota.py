@@ -1,10 +1,12 @@
 """Fixed windows anchored at a key's first request (quotas, result reuse): batch and stream.
 
 A window opens with the first request after the previous one ended, so windows
-depend on each other in time order. The batch job keeps that chain short: a key's
-distinct milliseconds are gathered per two-second piece of time (at most 2,000 of
-them, whatever the traffic), and only those arrays pass through the ordered step. Requests are then matched to windows by (key, bucket), so a hot
-key is spread over its buckets.
+depend on each other in time order, but not across a gap as long as a window.
+The batch job cuts a key's time line at such gaps, found from the first and last
+request of each window length; between them, a key's distinct milliseconds are gathered per
+two-second piece of time (at most 2,000 of them, whatever the traffic), and only those arrays
+pass through the ordered step, one segment after the other. Requests are matched to windows by
+(key, bucket) and numbered by slices of a window, so a hot key is spread over its buckets and slices.
 """
 
 from __future__ import annotations
@@ -19,18 +21,20 @@ from pyspark.sql import functions as F
 ANCHORS = "key string, anchor long"
 # Length of the pieces of time that pass the ordered step; it bounds a row there.
 PIECE_MS = 2_000
+# Slices of a window in which its requests are numbered on their own.
+SLICES = 64
 
 
 def _chain(window_ms: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come ordered by key and piece; state is the end of the key's open window."""
-        key, end = None, None
+        """Rows come ordered by key, segment and time; state is the end of the segment's open window."""
+        segment, end = None, None
         for batch in batches:
             keys: list[str] = []
             anchors: list[int] = []
-            for k, moments in zip(batch["key"], batch["moments"]):
-                if k != key:
-                    key, end = k, None
+            for k, part, moments in zip(batch["key"], batch["segment"], batch["moments"]):
+                if (k, part) != segment:
+                    segment, end = (k, part), None
                 times = np.asarray(moments, dtype=np.int64)
                 at = 0 if end is None else int(np.searchsorted(times, end))
                 while at < len(times):
@@ -39,23 +43,31 @@ def _chain(window_ms: int):
                     anchors.append(start)
                     end = start + window_ms
                     at = int(np.searchsorted(times, end))
-            yield pd.DataFrame({"key": keys, "anchor": np.array(anchors, dtype=np.int64)})
+            if keys:  # an empty frame has no types
+                yield pd.DataFrame({"key": keys, "anchor": np.array(anchors, dtype=np.int64)})
 
     return run
 
 
 def anchors(events: DataFrame, window_ms: int) -> DataFrame:
     """Window starts per key. ``events`` has key (string) and ms (long)."""
-    bucket = F.floor(F.col("ms") / PIECE_MS)
+    slot = F.floor(F.col("ms") / window_ms)
+    # one row per key and window length: segments start where a gap is as long as a window
+    spans = events.groupBy("key", slot.alias("slot")).agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    by_time = Window.partitionBy("key").orderBy("slot")
+    starts = F.coalesce(F.col("first") - F.lag("last").over(by_time) >= window_ms, F.lit(True))
+    segments = spans.withColumn("starts", starts).select("key", "slot", F.count_if("starts").over(by_time).alias("segment"))
     # distinct milliseconds first: partial aggregation removes repeats before the shuffle
+    piece = F.floor((F.col("ms") - slot * window_ms) / PIECE_MS)
     moments = (
-        events.select("key", bucket.alias("bucket"), "ms")
+        events.select("key", slot.alias("slot"), piece.alias("piece"), "ms")
         .distinct()
-        .groupBy("key", "bucket")
+        .groupBy("key", "slot", "piece")
         .agg(F.array_sort(F.collect_list("ms")).alias("moments"))
+        .join(segments, ["key", "slot"])
     )
-    ordered = moments.repartition("key").sortWithinPartitions("key", "bucket")
-    return ordered.select("key", "moments").mapInPandas(_chain(window_ms), ANCHORS)
+    ordered = moments.repartition("key", "segment").sortWithinPartitions("key", "segment", "slot", "piece")
+    return ordered.select("key", "segment", "moments").mapInPandas(_chain(window_ms), ANCHORS)
 
 
 def windowed(events: DataFrame, window_ms: int, order: str) -> DataFrame:
@@ -73,8 +85,14 @@ def windowed(events: DataFrame, window_ms: int, order: str) -> DataFrame:
         .filter((F.col("ms") >= F.col("anchor")) & (F.col("ms") < F.col("anchor") + window_ms))
         .drop("bucket")
     )
-    w = Window.partitionBy("key", "anchor").orderBy("ms", order)
-    return placed.withColumn("nth", F.row_number().over(w))
+    placed = placed.withColumn("slice", F.floor((F.col("ms") - F.col("anchor")) * SLICES / window_ms))
+    # at most SLICES counts per window; their running sum is where the numbers of a slice start
+    counts = placed.groupBy("key", "anchor", "slice").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("key", "anchor").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("key", "anchor", "slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    w = Window.partitionBy("key", "anchor", "slice").orderBy("ms", order)
+    numbered = placed.withColumn("in_slice", F.row_number().over(w)).join(before, ["key", "anchor", "slice"])
+    return numbered.withColumn("nth", F.col("before") + F.col("in_slice")).drop("slice", "in_slice", "before")
 
 
 def quota_windows(events: DataFrame, window_ms: int, most: int, order: str) -> DataFrame:
@@ -95,30 +113,55 @@ def freshness_reuse(events: DataFrame, ttl_ms: int, order: str) -> DataFrame:
     return windowed(events, ttl_ms, order).select("key", order, (F.col("nth") > 1).alias("hit"))
 
 
-def quota_processor(window_ms: int, most: int, order: str):
-    """Stateful processor of the same rule for a stream: state is (count, reset time) per key."""
+def quota_processor(window_ms: int, most: int, order: str, timed: bool = False):
+    """Stateful processor of the same rule for a stream: state is (count, reset time) per key.
+
+    A key's rows of a micro-batch may come in several frames in any order, so times and ids (16 bytes a row) are put in order
+    before they are counted. With ``timed`` a timer drops the state once the watermark has passed the window's end.
+    """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Quota(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.window = handle.getValueState("window", "count long, reset long")
 
-        def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            frames = [r[["ms", order]].astype("int64").to_numpy() for r in rows]
+            asked = np.concatenate(frames) if frames else np.zeros((0, 2), np.int64)
+            asked = asked[np.lexsort((asked[:, 1], asked[:, 0]))]
             known = self.window.get() if self.window.exists() else None
             count, reset = (int(known[0]), int(known[1])) if known else (0, 0)
-            for rows_in in rows:
-                out = []
-                batch = rows_in.sort_values(["ms", order])
-                for ms, ident in zip(batch["ms"], batch[order]):
-                    ms = int(ms)
-                    if count == 0 or reset <= ms:
-                        count, reset = 0, ms + window_ms
-                    count += 1
-                    out.append(
-                        (key[0], int(ident), count, count <= most, max(most - count, 0), -(-(reset - ms) // 1000))
-                    )
-                yield pd.DataFrame(out, columns=["key", order, "request_no", "allowed", "remaining", "reset_seconds"])
+            times, at = asked[:, 0], 0
+            numbers, resets = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+            while at < len(times):  # one step per window
+                if count == 0 or reset <= times[at]:
+                    count, reset = 0, int(times[at]) + window_ms
+                stop = int(np.searchsorted(times, reset))
+                numbers[at:stop] = np.arange(count + 1, count + 1 + stop - at)
+                resets[at:stop] = reset
+                count, at = count + stop - at, stop
+            if not len(asked):
+                return
             self.window.update((count, reset))
+            if timed:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(reset)
+            yield pd.DataFrame(
+                {
+                    "key": key[0],
+                    order: asked[:, 1],
+                    "request_no": numbers,
+                    "allowed": numbers <= most,
+                    "remaining": np.maximum(most - numbers, 0),
+                    "reset_seconds": -(-(resets - times) // 1000),
+                }
+            )
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.window.clear()
+            yield from ()
 
         def close(self) -> None:
             pass
@@ -126,8 +169,14 @@ def quota_processor(window_ms: int, most: int, order: str):
     return Quota()
 
 
-def quota_stream(events: DataFrame, window_ms: int, most: int, order: str) -> DataFrame:
-    """Streaming quota decisions. Requests of a key are expected in time order across batches."""
+def quota_stream(events: DataFrame, window_ms: int, most: int, order: str, late: str | None = None) -> DataFrame:
+    """Streaming quota decisions.
+
+    Requests of a key are put in order within a micro-batch and are expected in time order across micro-batches. With ``late`` (an
+    interval such as "1 hour") rows later than that are dropped, and ended windows leave the state.
+    """
+    if late:
+        events = events.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
     # this kind of state needs the RocksDB store; state files follow the query's checkpoint folder
     events.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -135,8 +184,8 @@ def quota_stream(events: DataFrame, window_ms: int, most: int, order: str) -> Da
     )
     schema = f"key string, {order} long, request_no long, allowed boolean, remaining long, reset_seconds long"
     return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=quota_processor(window_ms, most, order),
+        statefulProcessor=quota_processor(window_ms, most, order, late is not None),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime" if late else "None",
     )
