@@ -12,8 +12,9 @@ seventh of both sizes together (at a similarity of 0.75), and so leaves cells un
   linked nodes share ``SPARE_SMALL`` + 1 of them: this pigeonhole never misses, and common lines do not gather nodes.
 * Nodes meet by an equi join on (band, cell, value). Cells that at most ``FEW`` nodes share give all their pairs; in
   larger ones each node meets the first. A large cell whose nodes are in one group by then is done, and a node with no more than
-  ``SPARE`` others has met each partner in a smaller cell. What is left meets in blocks of a cell, which yield only pairs whose
-  bit sketches are near enough.
+  ``SPARE`` others has met each partner in a smaller cell. What is left are dense groups of copies that differ in more than a
+  link allows; their blocks are compared on the whole sets, each pair of blocks in a task that yields only links between different
+  groups.
 * Bit sketches (one bit per shingle, XORed) give a lower bound of the symmetric difference and discard most false pairs; the
   rest is verified on the whole sets. Groups come from rounds of star contraction on Spark tables.
 """
@@ -39,7 +40,7 @@ SMALL_TOP = (SMALL - 1) * OF // SIMILAR
 SHARED = 45
 SPARE, SPARE_SMALL = 8, 2
 FEW = 32
-BLOCK = 128
+BLOCK = 1024
 #: Bits of the filter in front of the exact join with candidates.
 SIEVE_BITS = 24
 
@@ -318,7 +319,7 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, groups: DataFrame, contents: DataFrame) -> DataFrame:
-    """Near pairs of different groups within large cells (key, node). Cells with the same nodes count once."""
+    """Links between groups within large cells (key, node), enough of them to join what belongs together."""
     rooted = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     for _ in range(3):  # each time fewer nodes make more cells be done
         open_cells = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
@@ -326,34 +327,55 @@ def _in_blocks(members: DataFrame, groups: DataFrame, contents: DataFrame) -> Da
         small = F.col("key").bitwiseAND(F.lit(1))
         busy = rooted.groupBy("node").agg(F.sum(small).alias("small"), F.sum(1 - small).alias("large")).where((F.col("small") > SPARE_SMALL) | (F.col("large") > SPARE))
         rooted = util.stored(rooted.join(busy.select("node"), "node", "left_semi"), "open")
-    sizes = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.expr("bit_xor(xxhash64(node))").alias("same")).where("low != high")
-    sizes = sizes.groupBy("size", "same").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    # cells that share nodes make one cluster, so that no pair is looked at twice
+    cluster = components(rooted.select(F.col("node").alias("a"), F.xxhash64("key", F.lit("cell")).alias("b"))).select("node", F.col("root").alias("cluster"))
+    nodes = rooted.select("node", "root").distinct().join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        rooted.join(sizes, "key")
+        nodes.join(sizes, "cluster")
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-        .join(contents.select("node", "n", "sketch"), "node")
+        .join(contents.select("node", "set"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "sketch")
+        .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "set")
     )
 
     def run(table: pa.Table) -> pa.Table:
-        block, name, root, n = (table[k].to_numpy() for k in ("block", "node", "root", "n"))
-        raw = [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()]
-        size = min(map(len, raw))
-        sketch = np.stack([folded(x, size) for x in raw])
-        if size >= 8:
-            sketch = sketch.view(np.uint64)
-        low = block == block.min()
-        left, right = (np.flatnonzero(low), np.flatnonzero(~low)) if not low.all() else (np.arange(len(n)), np.arange(len(n)))
-        out = []
-        for i in left:
-            apart = np.bitwise_count(sketch[right] ^ sketch[i]).sum(1, dtype=np.int64)
-            near = (apart <= most_apart(n[right] + n[i])) & (root[right] != root[i]) & (np.minimum(n[right], n[i]) * OF >= np.maximum(n[right], n[i]) * SIMILAR)
-            out.append(np.stack([np.full(near.sum(), name[i]), name[right[near]]]))
-        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        a, b = forest(table["block"].to_numpy(), table["node"].to_numpy(), table["root"].to_numpy(), [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def forest(block: np.ndarray, name: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links between the nodes of two blocks (or within one) that join different groups; each joins two groups at most once.
+
+    A list of nodes per shingle gives the intersections of a node with all others in one count.
+    """
+    _, group = np.unique(root, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    owner = np.repeat(np.arange(len(sets)), size)[order]
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(np.bincount(shingle))))
+    ends = np.cumsum(size)
+    both = block.min() != block.max()
+    out: tuple[list[int], list[int]] = ([], [])
+    for k in np.flatnonzero(block == block.min()):
+        if (group == group[0]).all():
+            break
+        own = shingle[ends[k] - size[k] : ends[k]]
+        count = begin[own + 1] - begin[own]
+        at = np.repeat(begin[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        found = (OF * shared >= SIMILAR * (size + size[k] - shared)) & (group != group[k])
+        if both:
+            found &= block != block[k]
+        for j in np.flatnonzero(found):
+            if group[j] != group[k]:
+                out[0].append(int(min(name[k], name[j])))
+                out[1].append(int(max(name[k], name[j])))
+                group[group == group[j]] = group[k]
+    return out
 
 
 def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,9 +393,8 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     near = util.stored(_near(pairs, contents), "near")
     # first one pair per node, then all that this leaves apart, then the large cells
     groups = components(_verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), contents))
-    for more in (lambda: _apart(near, groups), lambda: _in_blocks(members, groups, contents)):
-        edges = _verified(more(), contents)
-        groups = components(edges.union(groups.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    for more in (lambda: _verified(_apart(near, groups), contents), lambda: _in_blocks(members, groups, contents)):
+        groups = components(more().union(groups.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     roots = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("size")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("size").alias("rows")).where("rows > 1")
