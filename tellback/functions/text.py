@@ -160,11 +160,21 @@ def tag_text(html: Column, tag: str) -> Column:
     return squeeze(decode_basic(strip_tags(F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))))
 
 
-def tag_texts(html: Column, tag: str, limit: int = 20) -> Column:
-    """Distinct texts of a heading tag, page order; 20 is the size of the signal."""
+def first(values: Column, limit: int | None = None) -> Column:
+    """The first ``limit`` items of a list, or all of them."""
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def head(text: Column, limit: int | None = None) -> Column:
+    """The first ``limit`` characters of a text, or all of them."""
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def tag_texts(html: Column, tag: str, limit: int | None = None) -> Column:
+    """Distinct texts of a heading tag, in page order."""
     raw = F.regexp_extract_all(html, F.lit(f"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
     texts = F.transform(raw, lambda x: squeeze(decode_basic(strip_tags(x))))
-    return F.slice(F.array_distinct(F.filter(texts, lambda x: x != "")), 1, limit)
+    return first(F.array_distinct(F.filter(texts, lambda x: x != "")), limit)
 
 
 def first_text(*candidates: Column) -> Column:

@@ -159,7 +159,7 @@ def dedupe_key(url: Column) -> Column:
     """Fragment, tracking parameters and one trailing slash removed."""
 
     def query_out(raw: Column) -> Column:
-        kept = F.filter(F.split(F.substring(raw, 2, 1_000_000), "&"), lambda p: (p != "") & ~_tracking(p))
+        kept = F.filter(F.split(F.regexp_replace(raw, "^\\?", ""), "&"), lambda p: (p != "") & ~_tracking(p))
         return F.when(raw == "", "").otherwise(
             let(F.array_join(kept, "&"), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
         )

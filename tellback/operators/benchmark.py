@@ -390,15 +390,16 @@ def stratified_selection(candidates: DataFrame, plan: list[tuple] | None = None,
 
 
 def category_walk(
-    edges: DataFrame, seeds: DataFrame, max_depth: int = 2, fan_out: int = 16, per_seed: int = 160
+    edges: DataFrame, seeds: DataFrame, max_depth: int = 2, fan_out: int | None = None, per_seed: int | None = None
 ) -> DataFrame:
-    """Distinct pages below seed categories: (parent, child, kind) edges, bounded depth and fan-out.
+    """Distinct pages below seed categories: (parent, child, kind) edges, down to ``max_depth``.
 
-    A bounded loop of equi joins; every step drops categories already reached.
+    ``fan_out`` and ``per_seed`` keep the first sub-categories and pages when given. A bounded loop of equi joins; every step drops categories already reached.
     """
     subs = edges.filter("kind = 'category'").select("parent", "child")
-    w = Window.partitionBy("parent").orderBy("child")
-    subs = subs.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= fan_out).drop("n")
+    if fan_out is not None:
+        w = Window.partitionBy("parent").orderBy("child")
+        subs = subs.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= fan_out).drop("n")
     level = seeds.select("seed", F.col("seed").alias("category"), F.lit(0).alias("depth"))
     reached = level
     for depth in range(1, max_depth + 1):
@@ -420,7 +421,8 @@ def category_walk(
         .withColumn("stable_rank", F.substring(F.sha1("title"), 1, 12))
     )
     top = Window.partitionBy("seed").orderBy("stable_rank", "title")
-    return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= per_seed)
+    ranked = found.withColumn("rank", F.row_number().over(top))
+    return ranked if per_seed is None else ranked.filter(F.col("rank") <= per_seed)
 
 
 def rehydrate(stored: DataFrame, recomputed: DataFrame, version: str) -> DataFrame:

@@ -237,10 +237,10 @@ def citation_match_level(responses: DataFrame, keys: list[str]) -> DataFrame:
     return staged.select(*keys, level.alias("citation_level"), (best < 3).alias("cited_official"))
 
 
-def subpage_reach(subpages: DataFrame, answers: DataFrame, keys: list[str], reach: int = 400) -> DataFrame:
+def subpage_reach(subpages: DataFrame, answers: DataFrame, keys: list[str], reach: int | None = None) -> DataFrame:
     """Did an engine reach each sub-page? Equi join on the site, then rules on the answer near its mention.
 
-    ``reach`` is how far behind the mention the rules look.
+    ``reach`` is how far behind the first mention the rules look; to the end, and so at later mentions too, unless given.
     """
     subs = subpages.select(
         "page_id", "sub_url", F.lower(F.col("sub_url")).alias("_u"), F.lower(U.path(F.col("sub_url"))).alias("_p"),
@@ -253,7 +253,7 @@ def subpage_reach(subpages: DataFrame, answers: DataFrame, keys: list[str], reac
     df = subs.join(said, "page_id")
     by_url, by_path = F.position(F.col("_u"), F.col("_t")), F.position(F.col("_p"), F.col("_t"))
     at = F.when(by_url > 0, by_url).otherwise(by_path)
-    df = df.withColumn("_near", F.when(at > 0, F.substring(F.col("_t"), at, F.lit(reach))).otherwise(""))
+    df = df.withColumn("_near", F.when(at > 0, F.substring(F.col("_t"), at, F.lit(reach) if reach else F.length("_t"))).otherwise(""))
     near = F.col("_near")
     fail = near.rlike("접근 ?실패")
     good = near.rlike("접근 ?성공") | (F.contains(near, F.lit("제목:")) & ~F.contains(near, F.lit("접근실패")))

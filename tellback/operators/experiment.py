@@ -119,11 +119,11 @@ def rewrite_sections(text: Column) -> tuple[Column, Column]:
     return F.when(F.col("section_count") <= 2, F.coalesce(made, text)).otherwise(text), use
 
 
-def rewrite_links(text: Column, most: int = 20) -> tuple[Column, Column]:
-    """First occurrence of each anchor wrapped in [[ ]], longest anchors first, up to ``most``."""
+def rewrite_links(text: Column, most: int | None = None) -> tuple[Column, Column]:
+    """First occurrence of each anchor wrapped in [[ ]], longest anchors first, up to ``most`` when given."""
     usable = F.filter(
         F.array_distinct(F.transform("anchors", T.strip)),
-        lambda a: F.length(a).between(2, 40) & ~a.rlike("^[0-9]+$"),
+        lambda a: (F.length(a) >= 2) & ~a.rlike("^[0-9]+$"),
     )
     ordered = F.transform(
         F.array_sort(F.transform(usable, lambda a, i: F.struct((-F.length(a)).alias("l"), i.alias("i"), a.alias("a")))),
@@ -132,7 +132,7 @@ def rewrite_links(text: Column, most: int = 20) -> tuple[Column, Column]:
 
     def wrap(acc: Column, a: Column) -> Column:
         linked = F.concat(F.lit("[["), a, F.lit("]]"))
-        fits = (acc["n"] < most) & F.contains(acc["t"], a) & ~F.contains(acc["t"], linked)
+        fits = (F.lit(most is None) | (acc["n"] < (most or 0))) & F.contains(acc["t"], a) & ~F.contains(acc["t"], linked)
         made = F.overlay(acc["t"], linked, F.position(a, acc["t"]), F.length(a))
         return F.struct(F.when(fits, made).otherwise(acc["t"]).alias("t"), (acc["n"] + F.when(fits, 1).otherwise(0)).alias("n"))
 

@@ -25,21 +25,22 @@ def field_of_label(label: Column) -> Column:
     return T.let(T.squeeze(F.lower(label)), lambda n: F.coalesce(table[n], F.get(hits(n), 0)))
 
 
-def normal_values(field: Column, value: Column) -> Column:
-    """Accepted value(s) of a field as a list, NULL when the value is empty or too long."""
-    limits = T.literal_map(dims.MAX_VALUE_LENGTH.items())
+def normal_values(field: Column, value: Column, limits: dict[str, int] | None = None, item_chars: int | None = None, items: int | None = None) -> Column:
+    """Accepted value(s) of a field as a list, NULL when the value is empty.
+
+    ``limits`` (such as ``dims.MAX_VALUE_LENGTH``) refuses longer values by field, ``item_chars`` longer items of a list,
+    ``items`` longer lists. None of them applies unless given.
+    """
+    most = T.literal_map((limits or {"": 0}).items())
 
     def as_list(v: Column) -> Column:
-        items = F.filter(
-            F.transform(F.split(v, ITEM_CUT), T.strip), lambda i: (i != "") & (F.length(i) <= 80)
-        )
-        return T.let(
-            items,
-            lambda x: F.when(F.size(x).between(1, 8) & (F.length(F.array_join(x, ", ")) <= 260), x),
+        kept = F.filter(
+            F.transform(F.split(v, ITEM_CUT), T.strip), lambda i: (i != "") & (F.length(i) <= item_chars if item_chars else F.lit(True))
         )
+        return T.let(kept, lambda x: F.when((F.size(x) >= 1) & (F.size(x) <= items if items else F.lit(True)), x))
 
     def accept(v: Column) -> Column:
-        scalar = F.when(F.length(v) <= F.coalesce(limits[field], F.lit(2_000_000_000)), F.array(v))
+        scalar = F.when(~F.coalesce(F.length(v) > most[field], F.lit(False)), F.array(v)) if limits else F.array(v)
         return F.when((v == "") | field.isNull(), F.lit(None)).when(
             field.isin(dims.ARRAY_FIELDS), as_list(v)
         ).otherwise(scalar)
@@ -114,11 +115,17 @@ def _from_window(window: Column) -> Column:
     )
 
 
-def block_inline(content: Column, reach: int = 900) -> Column:
-    """Facts written as running text. The stretch after a facts heading is tried first, then the whole text."""
+def block_inline(content: Column, reach: int | None = None) -> Column:
+    """Facts written as running text. The stretch after a facts heading is tried first, then the whole text.
+
+    Without ``reach`` a stretch goes to the end of the text; the first heading's then holds all others.
+    """
     anchors = "|".join(dims.FACT_ANCHORS)
 
     def windows(text: Column) -> Column:
+        if reach is None:
+            rest = F.regexp_extract(text, f"(?is)((?:{anchors}).*)$", 1)
+            return F.when(rest != "", F.array(rest)).otherwise(F.array().cast("array<string>"))
         pieces = F.split(F.regexp_replace(text, f"(?i)({anchors})", "\u0003$1"), "\u0003")
         # every piece holds its heading, so this many pieces always fill the reach
         enough = reach // min(len(a) for a in dims.FACT_ANCHORS) + 1
@@ -276,9 +283,7 @@ def ground_truth_infobox(pages: DataFrame, key: str = "page_id", title: str = "o
     ).otherwise(F.regexp_extract(para, f"(?:은|는){ws}+(.{{1,60}}?)(?:{kinds_ko})", 1))
     para_type = F.nullif(F.trim(F.when(defined, said_type)), F.lit(""))
     box = F.col("box")
-    items = F.slice(
-        F.filter(F.transform(F.split(_box_value(box, "key_products"), ITEM_CUT + "|\n|;"), T.strip), lambda i: i != ""), 1, 6
-    )
+    items = F.filter(F.transform(F.split(_box_value(box, "key_products"), ITEM_CUT + "|\n|;"), T.strip), lambda i: i != "")
     year = F.nullif(F.regexp_extract(_box_value(box, "founded"), f"{before}((?:18|19|20)[0-9]{{2}}){after}", 1), F.lit(""))
 
     def row(field: str, values: Column, source: Column | str) -> Column:
@@ -306,11 +311,11 @@ def ground_truth_infobox(pages: DataFrame, key: str = "page_id", title: str = "o
     return staged.select(key, F.explode(kept).alias("r")).select(key, "r.*")
 
 
-def ground_truth_official(pages: DataFrame, key: str = "page_id", head_chars: int = 2000) -> DataFrame:
-    """Short official-page variant: labelled lines at the page top (any line, no runs), then JSON-LD."""
+def ground_truth_official(pages: DataFrame, key: str = "page_id", head_chars: int | None = None) -> DataFrame:
+    """Short official-page variant: labelled lines (any line, no runs), then JSON-LD."""
     table = dims.alias_map(dims.OFFICIAL_LABELS)
     pattern = f"^[-*]?{T.WS}*([^:]{{1,30}}){T.WS}*:{T.WS}*(.+)$"
-    lines = F.transform(F.split(F.substring("content", 1, head_chars), "\n+"), T.strip)
+    lines = F.transform(F.split(T.head(F.col("content"), head_chars), "\n+"), T.strip)
 
     def entry(line: Column) -> Column:
         field = table[F.lower(T.strip(F.regexp_extract(line, pattern, 1)))]

@@ -101,16 +101,16 @@ def page_signals(
 
 
 def markdown() -> Column:
-    """Title, description, up to 3 h1 and 8 h2 lines, then the body."""
+    """Title, description, h1 and h2 lines, then the body."""
     part = lambda mark, c: F.when(F.col(c) != "", F.concat(F.lit(mark), F.col(c)))
-    lines = lambda mark, c, n: F.transform(F.slice(F.col(c), 1, n), lambda h: F.concat(F.lit(mark), h))
+    lines = lambda mark, c: F.transform(F.col(c), lambda h: F.concat(F.lit(mark), h))
     return T.strip(
         F.array_join(
             F.array_compact(
                 F.concat(
                     F.array(part("# ", "title"), part("", "description")),
-                    lines("## ", "h1_texts", 3),
-                    lines("### ", "h2_texts", 8),
+                    lines("## ", "h1_texts"),
+                    lines("### ", "h2_texts"),
                     F.array(part("", "body_text")),
                 )
             ),
@@ -186,13 +186,13 @@ def page_score() -> Column:
     ).cast("bigint")
 
 
-def page_usability(signals: DataFrame) -> DataFrame:
+def page_usability(signals: DataFrame, head_chars: int = 400) -> DataFrame:
     """Error-like, usable and strong flags and the 0-100 page score.
 
-    The error test looks at the page head only (title, description and the
-    first 400 characters): an article that mentions 404 further down is fine.
+    An error page says so at its head; ``head_chars`` is what counts as the head, so that an article which
+    mentions 404 further down is no error page.
     """
-    sample = F.lower(F.concat_ws(" ", "title", "description", F.substring("content", 1, 400)))
+    sample = F.lower(F.concat_ws(" ", "title", "description", F.substring("content", 1, head_chars)))
     error_like = (
         sample.rlike(f"{T.NO_WORD_BEFORE}404{T.NO_WORD_AFTER}")
         | F.contains(sample, F.lit("page could not be found"))
@@ -407,7 +407,7 @@ def lead_paragraph(content: Column, reach: int = 240) -> Column:
 
 def first_sentence(paragraph: Column) -> Column:
     found = F.regexp_extract(paragraph, "^(.{1,220}?[.!?]|.{1,220}?다\\.|.{1,220}?요\\.)", 1)
-    return T.squeeze(F.when(found != "", found).otherwise(F.substring(paragraph, 1, 220)))
+    return T.squeeze(F.when(found != "", found).otherwise(paragraph))
 
 
 def entity_name(h1_texts: Column, title: Column) -> Column:

@@ -101,7 +101,7 @@ def payload_citations(df: DataFrame) -> DataFrame:
 
 def is_query(q: Column) -> Column:
     noise = T.literal_list(dims.QUERY_NOISE)
-    return F.length(q).between(2, 200) & ~q.rlike("(?i)^https?://") & ~F.array_contains(noise, F.lower(q))
+    return (F.length(q) >= 2) & ~q.rlike("(?i)^https?://") & ~F.array_contains(noise, F.lower(q))
 
 
 QUERY_KEYS = ["query", "queries", "search_query", "search_queries", "rewritten_query", "rewritten_queries"]
@@ -113,26 +113,26 @@ QUERY_LIKE = {
 }
 
 
-def _walk_queries(value, found: list[str], depth: int = 0) -> None:
-    if value is None or depth > 6:
+def _walk_queries(value, found: list[str]) -> None:
+    if value is None:
         return
     if isinstance(value, str):
         found.append(value)
     elif isinstance(value, list):
         for item in value:
-            _walk_queries(item, found, depth + 1)
+            _walk_queries(item, found)
     elif isinstance(value, dict):
         for key, child in value.items():
             low = key.lower()
             if low in QUERY_LIKE or (("query" in low or "search" in low) and isinstance(child, str)):
-                _walk_queries(child, found, depth + 1)
+                _walk_queries(child, found)
             elif isinstance(child, (dict, list)) and any(w in low for w in ("query", "search", "tool", "action")):
-                _walk_queries(child, found, depth + 1)
+                _walk_queries(child, found)
 
 
 @F.pandas_udf(ST.ArrayType(ST.StringType()))
 def walk_queries(values: pd.Series) -> pd.Series:
-    """Strings under query-like keys of nested JSON, to a fixed depth. Only nested shapes come here."""
+    """Strings under query-like keys of nested JSON. Only nested shapes come here."""
 
     def one(text):
         found: list[str] = []
@@ -209,30 +209,28 @@ def payload_grounding(df: DataFrame) -> DataFrame:
     )
 
 
-def _walk_keys(value, found: list[dict], path: str = "root", depth: int = 0, most: int = 16) -> None:
-    if value is None or depth > 5 or len(found) >= most:
+def _walk_keys(value, found: list[dict], path: str = "root") -> None:
+    if value is None:
         return
     if isinstance(value, list):
-        for i, item in enumerate(value[:8]):
-            _walk_keys(item, found, f"{path}[{i}]", depth + 1, most)
+        for i, item in enumerate(value):
+            _walk_keys(item, found, f"{path}[{i}]")
         return
     if not isinstance(value, dict):
         return
     for key, child in value.items():
-        if len(found) >= most:
-            return
         if any(w in key.lower() for w in ("query", "search", "tool", "action")):
             kind = "array" if isinstance(child, list) else "object" if isinstance(child, dict) or child is None else (
                 "string" if isinstance(child, str) else "boolean" if isinstance(child, bool) else "number"
             )
             found.append({"path": f"{path}.{key}", "kind": kind})
         if isinstance(child, (dict, list)):
-            _walk_keys(child, found, f"{path}.{key}", depth + 1, most)
+            _walk_keys(child, found, f"{path}.{key}")
 
 
 @F.pandas_udf(ST.ArrayType(ST.StructType([ST.StructField("path", ST.StringType()), ST.StructField("kind", ST.StringType())])))
 def walk_keys(values: pd.Series) -> pd.Series:
-    """Paths of search-related keys, to a fixed depth and entry count (a diagnostic listing)."""
+    """Paths of search-related keys."""
 
     def one(text):
         found: list[dict] = []

@@ -17,14 +17,14 @@ def _list(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast(_EMPTY))
 
 
-def _service_hints(raw: Column, limit: int) -> Column:
-    """Words of four or more letters that are no stop words; the first ``limit`` are the hint list."""
+def _service_hints(raw: Column, limit: int | None = None) -> Column:
+    """Words of four or more letters that are no stop words."""
     words = F.split(F.lower(raw), f"[{T.WS_SET},.:;()\\-—/|]+")
     stop = T.literal_list(dims.STOP_WORDS)
     kept = F.filter(
         words, lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w) & w.rlike("[a-z가-힣]")
     )
-    return F.slice(F.array_distinct(kept), 1, limit)
+    return T.first(F.array_distinct(kept), limit)
 
 
 def entity_hints(entities: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def entity_hints(entities: DataFrame) -> DataFrame:
         )
     )
     strong = F.array_distinct(F.filter(parts, lambda p: (p != "") & ((F.length(p) >= 6) | (p == F.lower(F.col("root_label"))))))
-    df = df.withColumns({"strong_hints": strong, "service_hints": _service_hints(raw, 15)})
+    df = df.withColumns({"strong_hints": strong, "service_hints": _service_hints(raw)})
     anchors = F.array_distinct(
         F.filter(
             F.transform(
@@ -57,7 +57,7 @@ def entity_hints(entities: DataFrame) -> DataFrame:
     first_words = F.array_join(F.slice(service, 1, 3), ", ")
     return df.withColumns(
         {
-            "definition_hints": F.slice(F.array_except(F.array_except(service, F.col("anchor_terms")), generic), 1, 8),
+            "definition_hints": F.array_except(F.array_except(service, F.col("anchor_terms")), generic),
             "category_hint": T.first_text(first_words, F.col("title"), F.regexp_extract("description", "^([^.!?]*)", 1)),
             "exact_signals": F.filter(
                 F.transform(F.concat(F.array("company_name", "domain"), _list("aliases")), lambda v: F.lower(v)),
@@ -99,15 +99,15 @@ def verification_hints(hinted: DataFrame) -> DataFrame:
                 F.concat(F.array("official_domain"), U.mentioned_hosts(F.col("_said")))
             ),
             "known_phrases": phrase_hints(F.concat(F.array("snap_description"), heads, F.array("content_preview"))),
-            "known_services": F.slice(F.array_distinct(F.concat(F.col("service_hints"), _service_hints(wide, 15))), 1, 14),
+            "known_services": F.array_distinct(F.concat(F.col("service_hints"), _service_hints(wide))),
         }
     ).drop("_said")
 
 
 def hint_matches(df: DataFrame, text: str = "text") -> DataFrame:
-    """Which of the site's own hints an answer repeats; phrases and services count up to 4 each."""
+    """Which of the site's own hints an answer repeats."""
     said, low = F.col(text), F.lower(F.col(text))
-    inside = lambda c: F.slice(F.filter(c, lambda h: F.contains(low, F.lower(h))), 1, 4)
+    inside = lambda c: F.filter(c, lambda h: F.contains(low, F.lower(h)))
     return df.withColumns(
         {
             "matched_years": F.array_intersect(T.years(said), F.col("known_years")),
@@ -151,8 +151,7 @@ def fact_check(df: DataFrame, text: str = "text") -> DataFrame:
             "foreign_hosts": F.filter("_hosts", lambda h: ~official(h)),
             "_said_own": F.exists("_hosts", official),
             "matched_hints": F.filter("definition_hints", lambda h: F.contains(t, h)),
-            # the check reads the first forty sentences of an answer
-            "_sentences": F.slice(T.sentences(F.col(text), True), 1, 40),
+            "_sentences": T.sentences(F.col(text), True),
             "_terms": terms,
         }
     )

@@ -112,12 +112,14 @@ def _locs(body: Column) -> Column:
 
 def pick_sitemap(files: DataFrame, declared: DataFrame, key: str = "host") -> DataFrame:
     """The first available candidate per site: robots-declared ones, then /sitemap.xml."""
+    last = F.struct(F.lit(1).alias("default"), F.lit(0).cast("long").alias("pos"))  # behind all that are declared
     default = files.select(
-        key, F.lit(1_000_000).alias("pos"), F.concat(F.lit("https://"), F.col(key), F.lit("/sitemap.xml")).alias("sitemap_url")
+        key, last.alias("order"), F.concat(F.lit("https://"), F.col(key), F.lit("/sitemap.xml")).alias("sitemap_url")
     ).dropDuplicates([key])
-    candidates = declared.select(key, "pos", "sitemap_url").unionByName(default)
+    first = F.struct(F.lit(0).alias("default"), F.col("pos").cast("long").alias("pos"))
+    candidates = declared.select(key, first.alias("order"), "sitemap_url").unionByName(default)
     found = files.select(key, "sitemap_url", "body").join(candidates, [key, "sitemap_url"])
-    return found.groupBy(key).agg(F.min_by(F.struct("sitemap_url", "body"), "pos").alias("pick")).select(key, "pick.*")
+    return found.groupBy(key).agg(F.min_by(F.struct("sitemap_url", "body"), "order").alias("pick")).select(key, "pick.*")
 
 
 def sitemap_stats(picked: DataFrame) -> DataFrame:
@@ -354,9 +356,9 @@ def best_rendering(direct: DataFrame, rendered: DataFrame, key: str = "page_id")
 
 
 # --- declared structure and lint -------------------------------------------------
-def facts_labels(content: Column, head_chars: int = 1600) -> Column:
-    """Distinct labels of 'label: value' lines at the page top (the detector's reach)."""
-    lines = F.transform(F.split(F.substring(content, 1, head_chars), "\n+"), T.strip)
+def facts_labels(content: Column, head_chars: int | None = None) -> Column:
+    """Distinct labels of 'label: value' lines."""
+    lines = F.transform(F.split(T.head(content, head_chars), "\n+"), T.strip)
 
     def label(line: Column) -> Column:
         with_bullet = F.regexp_extract(line, f"^[-*]{T.WS}*([^:]{{1,30}}?){T.WS}*:{T.WS}*(?=[^{T.WS_SET}].)", 1)
@@ -382,14 +384,14 @@ def faq_structure(df: DataFrame) -> DataFrame:
     )
 
 
-def subpage_registry(df: DataFrame, head_chars: int = 2400) -> DataFrame:
+def subpage_registry(df: DataFrame, head_chars: int | None = None) -> DataFrame:
     helpful = F.filter(
         "links", lambda u: T.let(F.lower(U.path(u)), lambda p: (p != "/") & (F.size(F.split(p, "/")) <= 4))
     )
     return df.withColumns(
         {
             "helpful_links": F.size(helpful).cast("bigint"),
-            "subpage_heading": F.substring("content", 1, head_chars).rlike(
+            "subpage_heading": T.head(F.col("content"), head_chars).rlike(
                 "(?i)(주요 페이지|핵심 페이지|related pages|important pages|subpages?)"
             ),
         }

@@ -15,12 +15,12 @@ def text_entities(df: DataFrame, key: str, col: str = "text") -> DataFrame:
     return df.select(key, T.years(c).alias("years"), T.emails(c).alias("emails"), U.mentioned_hosts(c).alias("hosts"))
 
 
-def phrase_hints(values: Column, limit: int = 12) -> Column:
+def phrase_hints(values: Column, limit: int | None = None) -> Column:
     """Sentences and lines of 16 to 90 characters, first seen first; 12 is the size of the hint list."""
     parts = F.flatten(F.transform(values, lambda v: F.split(v, f"(?<=[.!?。]){T.WS}+|\\n+")))
     clean = F.transform(parts, T.squeeze)
-    kept = F.filter(clean, lambda p: F.length(p).between(16, 90) & p.rlike("(?i)[a-z가-힣0-9]"))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    kept = F.filter(clean, lambda p: (F.length(p) >= 16) & p.rlike("(?i)[a-z가-힣0-9]"))
+    return T.first(F.array_distinct(kept), limit)
 
 
 def sentences_with(sentences: Column, terms: Column) -> Column:

@@ -418,9 +418,9 @@ UNION ALL SELECT r.r_name, s.s_name, 'page' FROM region r JOIN nation n ON n.n_r
     "category_walk",
     ["fv_edges"],
     f"""SELECT seed, title, depth, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY substr(sha1(title), 1, 12), title) AS rank FROM (
-   SELECT w.seed, e.child AS title, CAST(min(w.depth) AS BIGINT) AS depth FROM walk w JOIN fv_edges e ON e.parent = w.category AND e.kind = 'page' WHERE {PP.KEEPS.replace('title', 'e.child')} GROUP BY ALL) t) u WHERE rank <= 160""",
+   SELECT w.seed, e.child AS title, CAST(min(w.depth) AS BIGINT) AS depth FROM walk w JOIN fv_edges e ON e.parent = w.category AND e.kind = 'page' WHERE {PP.KEEPS.replace('title', 'e.child')} GROUP BY ALL) t) u""",
     [
-        "walk AS (SELECT r_name AS seed, r_name AS category, 0 AS depth FROM region UNION SELECT w.seed, e.child, w.depth + 1 FROM walk w JOIN (SELECT * FROM fv_edges WHERE kind = 'category' QUALIFY row_number() OVER (PARTITION BY parent ORDER BY child) <= 16) e ON e.parent = w.category WHERE w.depth < 2)"
+        "walk AS (SELECT r_name AS seed, r_name AS category, 0 AS depth FROM region UNION SELECT w.seed, e.child, w.depth + 1 FROM walk w JOIN (SELECT * FROM fv_edges WHERE kind = 'category' ) e ON e.parent = w.category WHERE w.depth < 2)"
     ],
 )
 def category_walk(spark, sf_dir):
@@ -617,7 +617,7 @@ def _per(s: str) -> str:
 _ANCHORS = (
     "list_transform(list_sort(list_transform(list_filter("
     + O.uniq(f"list_transform(anchors, lambda a: {O.strip('a')})", "true")
-    + ", lambda a: length(a) BETWEEN 2 AND 40 AND NOT regexp_matches(a, '^[0-9]+$')), lambda a, i: {'l': -length(a), 'i': i, 'a': a})), lambda s: s.a)"
+    + ", lambda a: length(a) >= 2 AND NOT regexp_matches(a, '^[0-9]+$')), lambda a, i: {'l': -length(a), 'i': i, 'a': a})), lambda s: s.a)"
 )
 
 

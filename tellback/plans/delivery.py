@@ -325,7 +325,7 @@ FROM fv_resp WHERE status = 'success'
  FROM (SELECT *, CASE WHEN evidence IN ('citation_match', 'structured_response') THEN 'yes' WHEN evidence = 'content_summary' THEN 'uncertain' ELSE 'no' END AS reached FROM (
   SELECT *, CASE WHEN cited THEN 'citation_match' WHEN good THEN 'structured_response' WHEN fail THEN 'structured_fail' WHEN length(near) > 30 AND (regexp_matches(near, '요약:|내용:') OR length(near) > 100) THEN 'content_summary' ELSE 'not_mentioned' END AS evidence FROM (
    SELECT *, regexp_matches(near, '접근 ?실패') AS fail, regexp_matches(near, '접근 ?성공') OR (contains(near, '제목:') AND NOT contains(near, '접근실패')) AS good FROM (
-    SELECT page_id, engine, sub_url, cited, CASE WHEN pos > 0 THEN substr(t, CAST(pos AS BIGINT), 400) ELSE '' END AS near FROM (
+    SELECT page_id, engine, sub_url, cited, CASE WHEN pos > 0 THEN substr(t, CAST(pos AS BIGINT)) ELSE '' END AS near FROM (
      SELECT *, CASE WHEN strpos(t, lower(sub_url)) > 0 THEN strpos(t, lower(sub_url)) ELSE strpos(t, lower({O.path('sub_url')})) END AS pos FROM (
       SELECT s.page_id, a.engine, s.sub_url, lower(a.text) AS t, len(list_filter(CASE WHEN a.citations_text = '' THEN []::VARCHAR[] ELSE split(a.citations_text, ';') END,
         lambda c: CASE WHEN {O.host('c')} = '' THEN contains(lower(c), lower({O.path('s.sub_url')})) ELSE {O.bare_host('c')} = {O.bare_host('s.sub_url')} AND {O.trimmed_path('c')} = {O.trimmed_path('s.sub_url')} END)) > 0 AS cited

@@ -31,11 +31,10 @@ def resolve_cte(source: str, name: str, keep: str, label: str = "label") -> list
 
 def values_sql(field: str, value: str, limit: str) -> str:
     v = O.squeeze(O.sub(value, "^[-*•·\\s]+"))
-    items = f"list_filter(list_transform(string_split_regex({v}, ',|·|/| 및 | and '), lambda i: {O.strip('i')}), lambda i: i <> '' AND length(i) <= 80)"
+    items = f"list_filter(list_transform(string_split_regex({v}, ',|·|/| 및 | and '), lambda i: {O.strip('i')}), lambda i: i <> '')"
     return (
         f"(CASE WHEN {v} = '' OR {field} IS NULL THEN NULL WHEN {field} IN ('key_products', 'competitors') THEN "
-        f"CASE WHEN len({items}) BETWEEN 1 AND 8 AND length(array_to_string({items}, ', ')) <= 260 THEN {items} END "
-        f"WHEN length({v}) <= coalesce({limit}, 2000000000) THEN [{v}] END)"
+        f"CASE WHEN len({items}) >= 1 THEN {items} END ELSE [{v}] END)"
     )
 
 
@@ -111,7 +110,7 @@ def inline_ctes(source: str, n: str) -> list[str]:
     return [
         f"{n}_t AS MATERIALIZED (SELECT page_id, {O.squeeze('content')} AS text FROM {source})",
         f"""{n}_w AS MATERIALIZED (SELECT page_id, w, wno FROM (SELECT page_id, text AS w, 1000000 AS wno FROM {n}_t UNION ALL
-   SELECT page_id, substr(array_to_string(ps[k + 1:], ''), 1, 900), k FROM (SELECT page_id, ps, unnest(range(1, len(ps))) AS k FROM (
+   SELECT page_id, array_to_string(ps[k + 1:], ''), k FROM (SELECT page_id, ps, unnest(range(1, len(ps))) AS k FROM (
      SELECT page_id, string_split({O.sub('text', '(?i)(' + anchors + ')', chr(3) + B + '1')}, {O.lit(chr(3))}) AS ps FROM {n}_t) a) b) c)""",
         f"""{n}_p AS MATERIALIZED (SELECT page_id, wno, p, split_part(piece, {O.lit(chr(2))}, 1) AS label, split_part(piece, {O.lit(chr(2))}, 2) AS value FROM (
    SELECT page_id, wno, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p FROM (SELECT page_id, wno, string_split({O.sub('w', '(?i)(' + _ALT + ')' + B + 's*[:：]' + B + 's*', chr(1) + B + '1' + chr(2))}, {O.lit(chr(1))}) AS ps FROM {n}_w) a) b
@@ -216,7 +215,7 @@ WIKI_CTES = [
   UNION ALL SELECT page_id, 'description', [para], 'first_paragraph_definition' FROM wd WHERE defined AND para <> ''
   UNION ALL SELECT page_id, 'founded', [{O.get('founded', B + 'b((?:18|19|20)[0-9][0-9])' + B + 'b')}], 'infobox' FROM boxv WHERE {O.get('founded', B + 'b((?:18|19|20)[0-9][0-9])' + B + 'b')} <> ''
   UNION ALL SELECT page_id, 'headquarters', [headquarters], 'infobox' FROM boxv WHERE headquarters IS NOT NULL
-  UNION ALL SELECT page_id, 'key_products', (list_filter(list_transform(string_split_regex(key_products, ',|·|/|\\n|;| 및 | and '), lambda i: trim(i)), lambda i: i <> ''))[1:6], 'infobox' FROM boxv WHERE key_products IS NOT NULL)""",
+  UNION ALL SELECT page_id, 'key_products', (list_filter(list_transform(string_split_regex(key_products, ',|·|/|\\n|;| 및 | and '), lambda i: trim(i)), lambda i: i <> '')), 'infobox' FROM boxv WHERE key_products IS NOT NULL)""",
 ]
 
 
@@ -255,7 +254,7 @@ _OITEMS = f"list_filter(list_transform(string_split_regex(value, ',|·|/| 및 |
         "oal(a, f) AS (VALUES " + ", ".join(f"({O.lit(a)}, '{f}')" for a, f in _OFF) + ")",
         f"""ol AS MATERIALIZED (SELECT l.page_id, l.p, oal.f AS field, CASE WHEN oal.f = 'key_products' THEN {_OITEMS} ELSE [value] END AS vals FROM (
    SELECT page_id, p, lower({O.strip(O.get('l', _OLINE, 1))}) AS lab, {O.strip(O.get('l', _OLINE, 2))} AS value FROM (SELECT page_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS p FROM (
-    SELECT page_id, list_transform(string_split_regex(substr(content, 1, 2000), '\\n+'), lambda s: {O.strip('s')}) AS ls FROM fv_facts) a) b) l JOIN oal ON oal.a = l.lab WHERE value <> '')""",
+    SELECT page_id, list_transform(string_split_regex(content, '\\n+'), lambda s: {O.strip('s')}) AS ls FROM fv_facts) a) b) l JOIN oal ON oal.a = l.lab WHERE value <> '')""",
     ],
 )
 def ground_truth_official(spark, sf_dir):

@@ -61,7 +61,7 @@ def uniq(x: str, keep: str = "v <> ''") -> str:
 
 def tag_texts(x: str, tag: str) -> str:
     got = every(x, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    return f"({uniq(f'list_transform({got}, lambda h: {clean_fragment('h')})')})[1:20]"
+    return f"({uniq(f'list_transform({got}, lambda h: {clean_fragment('h')})')})"
 
 
 def tag_count(x: str, tag: str) -> str:

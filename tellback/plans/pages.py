@@ -395,7 +395,7 @@ LEAD = (
     "lambda s: s <> '' AND s NOT LIKE '#%' AND s NOT LIKE '---%' AND s NOT LIKE '[추가 페이지:%'), "
     "lambda acc, s: CASE WHEN acc = '' THEN s WHEN length(acc) >= 240 THEN acc ELSE acc || ' ' || s END, '')"
 ).replace("{strip}", O.strip("s"))
-FIRST = "(CASE WHEN {g} <> '' THEN {g} ELSE substr(lead, 1, 220) END)".replace(
+FIRST = "(CASE WHEN {g} <> '' THEN {g} ELSE lead END)".replace(
     "{g}", O.get("lead", "^(.{1,220}?[.!?]|.{1,220}?다\\.|.{1,220}?요\\.)")
 )
 DEFINES = (

@@ -109,7 +109,7 @@ _SPLIT = "'[\\s,.:;()\\-—/|]+'"
 
 
 def _service(raw: str) -> str:
-    return f"({O.uniq(f'string_split_regex(lower({raw}), {_SPLIT})', f'length(v) >= 4 AND NOT list_contains({_STOP}, v) AND regexp_matches(v, {O.lit('[a-z가-힣]')})')})[1:15]"
+    return f"({O.uniq(f'string_split_regex(lower({raw}), {_SPLIT})', f'length(v) >= 4 AND NOT list_contains({_STOP}, v) AND regexp_matches(v, {O.lit('[a-z가-힣]')})')})"
 
 
 _DISTINCT_TEXTS = "list_concat([title, description, snap_title, snap_description], h1s, h2s, [content_preview])"
@@ -118,9 +118,9 @@ _PHRASES = (
     + O.uniq(
         "list_filter(list_transform(flatten(list_transform(list_concat([snap_description], h1s, h2s, [content_preview]), lambda v: string_split(regexp_replace(v, '([.!?。])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)))), lambda p: "
         + O.squeeze("p")
-        + "), lambda p: length(p) BETWEEN 16 AND 90 AND regexp_matches(p, '(?i)[a-z가-힣0-9]'))"
+        + "), lambda p: length(p) >= 16 AND regexp_matches(p, '(?i)[a-z가-힣0-9]'))"
     )
-    + ")[1:12]"
+    + ")"
 )
 _HOST_IN = lambda col: PT.HOSTS_SQL.replace("text", col)
 _EMAIL = lambda col: f"list_distinct(list_transform({O.every(col, '(?i)' + B + 'b[A-Z0-9._%+-]+@[A-Z0-9.-]+' + B + '.[A-Z]{2,}' + B + 'b')}, lambda e: lower(e)))"
@@ -140,9 +140,9 @@ HINT_CTES = [
     f"""en3 AS MATERIALIZED (SELECT *, list_transform(list_concat([company_name, title], aliases, [official_domain, lower(root_label)], strong_hints), lambda v: lower({O.strip('v')})) AS anch, list_filter(list_transform(list_concat([company_name, domain], aliases), lambda v: lower(v)), lambda v: length(v) >= 6) AS exact_signals,
    raw || ' ' || array_to_string(service_hints, ' ') AS archetype_text FROM en2)""",
     f"""en4 AS MATERIALIZED (SELECT *, {O.uniq('anch', 'length(v) >= 2')} AS anchor_terms FROM en3)""",
-    f"""en AS MATERIALIZED (SELECT *, (list_filter(service_hints, lambda h: NOT list_contains(anchor_terms, h) AND NOT list_contains({_GENERIC}, h)))[1:8] AS definition_hints,
+    f"""en AS MATERIALIZED (SELECT *, (list_filter(service_hints, lambda h: NOT list_contains(anchor_terms, h) AND NOT list_contains({_GENERIC}, h))) AS definition_hints,
    CASE WHEN len(service_hints) > 0 THEN array_to_string(service_hints[1:3], ', ') ELSE title END AS category_hint,
-   {O.years('said')} AS known_years, {_EMAIL('said')} AS known_emails, list_concat([official_domain], {_HOST_IN('said')}) AS known_hosts, ({O.uniq('list_concat(service_hints, wide)')})[1:14] AS known_services,
+   {O.years('said')} AS known_years, {_EMAIL('said')} AS known_emails, list_concat([official_domain], {_HOST_IN('said')}) AS known_hosts, ({O.uniq('list_concat(service_hints, wide)')}) AS known_services,
    list_max([{_ARCH}]) AS arch FROM en4)""",
     "ent AS MATERIALIZED (SELECT *, CASE WHEN arch.h > 0 THEN arch.n ELSE 'general_business' END AS archetype FROM en)",
 ]
@@ -275,7 +275,7 @@ def query_coverage(spark, sf_dir):
 # --- recognition -----------------------------------------------------------------------
 _ANY = lambda t, l: f"(len(list_filter({l}, lambda h: contains({t}, h))) > 0)"
 _LIST = lambda xs: "[" + ", ".join(O.lit(x) for x in xs) + "]"
-_SENTS = f"(list_filter(list_transform(string_split(regexp_replace(text, '([.!?。]|다[.]|요[.])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {O.strip('s')}), lambda s: s <> ''))[1:40]"
+_SENTS = f"(list_filter(list_transform(string_split(regexp_replace(text, '([.!?。]|다[.]|요[.])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {O.strip('s')}), lambda s: s <> ''))"
 _CUE = dims.COMPARISON_CUE.replace("(?![A-Za-z0-9_])", B + "b")
 RECOG_CTES = CITE_CTES + [
     COVER,
@@ -297,7 +297,7 @@ RECOG_CTES = CITE_CTES + [
     WHEN comparison_safe OR anchored OR coalesce(service_defined, false) THEN 'aligned' ELSE 'weak' END AS verdict FROM rf)""",
     """rh AS MATERIALIZED (SELECT *, CASE WHEN uncertain THEN 'unknown' WHEN verdict IN ('wrong_entity', 'domain_mismatch', 'service_mismatch') THEN 'misidentified' WHEN verdict = 'aligned' AND (comparison_safe OR anchored OR exact_match OR strong_match) THEN 'recognized'
     WHEN (exact_match OR strong_match OR domain_signal) AND (service_match OR coalesce(service_defined, false)) THEN 'recognized' WHEN specific_claims AND NOT exact_match THEN 'misidentified' ELSE 'unknown' END AS match_status FROM rg)""",
-    f"""ri AS MATERIALIZED (SELECT *, list_intersect({O.years('text')}, known_years) AS m_years, list_intersect({_EMAIL('text')}, known_emails) AS m_mails, list_intersect(hosts, known_hosts) AS m_hosts, (list_filter(known_phrases, lambda h: contains(t, lower(h))))[1:4] AS m_phr, (list_filter(known_services, lambda h: contains(t, lower(h))))[1:4] AS m_srv,
+    f"""ri AS MATERIALIZED (SELECT *, list_intersect({O.years('text')}, known_years) AS m_years, list_intersect({_EMAIL('text')}, known_emails) AS m_mails, list_intersect(hosts, known_hosts) AS m_hosts, (list_filter(known_phrases, lambda h: contains(t, lower(h)))) AS m_phr, (list_filter(known_services, lambda h: contains(t, lower(h)))) AS m_srv,
    regexp_matches(text, '(?i)(설립|창립|founded)') AS founding, regexp_matches(text, '(?i)(문의|연락|contact|email|e-mail)') AS contact FROM rh)""",
     """rj AS MATERIALIZED (SELECT *, CAST(CASE WHEN match_status = 'misidentified' THEN 0 WHEN match_status = 'unknown' THEN CASE WHEN verdict = 'weak' THEN 10 ELSE 5 END ELSE greatest(20, least(95,
     (CASE WHEN verdict = 'aligned' THEN 25 ELSE 0 END) + (CASE WHEN coalesce(service_defined, false) THEN 20 ELSE 0 END) + (CASE WHEN domain_signal THEN 15 ELSE 0 END) + (CASE WHEN citations_official > 0 THEN 5 ELSE 0 END) + (CASE WHEN anchored THEN 5 ELSE 0 END)

@@ -62,8 +62,8 @@ def llms_txt(spark, sf_dir):
 _LOCS = f"list_transform({O.every('body', '(?is)<loc>' + chr(92) + 's*(.*?)' + chr(92) + 's*</loc>', 1)}, lambda x: {O.strip(O.decode_basic('x'))})"
 MAP_CTES = [
     """declared AS MATERIALIZED (SELECT host, u AS sitemap_url, pos FROM (SELECT host, pos, CASE WHEN value LIKE '/%' THEN 'https://' || host || value ELSE value END AS u FROM rl WHERE field = 'sitemap' AND value <> '') t)""",
-    """picked AS MATERIALIZED (SELECT f.host, arg_min(f.sitemap_url, c.pos) AS sitemap_url, arg_min(f.body, c.pos) AS body FROM fv_sitemap f JOIN (
-   SELECT host, sitemap_url, pos FROM declared UNION ALL SELECT DISTINCT host, 'https://' || host || '/sitemap.xml', 1000000 FROM fv_sitemap) c ON c.host = f.host AND c.sitemap_url = f.sitemap_url GROUP BY f.host)""",
+    """picked AS MATERIALIZED (SELECT f.host, arg_min(f.sitemap_url, (c.d, c.pos)) AS sitemap_url, arg_min(f.body, (c.d, c.pos)) AS body FROM fv_sitemap f JOIN (
+   SELECT host, sitemap_url, 0 AS d, pos FROM declared UNION ALL SELECT DISTINCT host, 'https://' || host || '/sitemap.xml', 1, 0 FROM fv_sitemap) c ON c.host = f.host AND c.sitemap_url = f.sitemap_url GROUP BY f.host)""",
     f"""mapstats AS MATERIALIZED (SELECT host, sitemap_url, body, url_count, sitemap_count, loc_count, url_count + sitemap_count + loc_count > 0 AS sitemap_exists,
    CASE WHEN sitemap_count > 0 THEN 'index' WHEN url_count > 0 THEN 'urlset' ELSE 'unknown' END AS sitemap_format FROM (
    SELECT *, len({O.every('body', '(?i)<url' + chr(92) + 'b')}) AS url_count, len({O.every('body', '(?i)<sitemap' + chr(92) + 'b')}) AS sitemap_count, len({_LOCS}) AS loc_count FROM picked) t)""",
@@ -172,7 +172,7 @@ def _label_sql(content: str) -> str:
     plain = O.get("l", "^([^:#]{1,30}?)\\s*:\\s*[^\\s].+$")
     lab = O.squeeze(f"CASE WHEN regexp_matches(l, '^[-*]') AND {bullet} <> '' THEN {bullet} ELSE {plain} END")
     return O.uniq(
-        f"list_transform(list_transform(string_split_regex(substr({content}, 1, 1600), '\\n+'), lambda s: {O.strip('s')}), lambda l: {lab})"
+        f"list_transform(list_transform(string_split_regex({content}, '\\n+'), lambda s: {O.strip('s')}), lambda l: {lab})"
     )
 
 
@@ -205,7 +205,7 @@ _CUE = "(?i)(주요 페이지|핵심 페이지|related pages|important pages|sub
 @query(
     "subpage_registry",
     ["fv_rich"],
-    f"SELECT page_id, {_HELPFUL} AS helpful_links, {O.has('substr(content, 1, 2400)', _CUE)} AS subpage_heading, has_part_count, significant_link_count FROM sig JOIN lds USING (page_id)",
+    f"SELECT page_id, {_HELPFUL} AS helpful_links, {O.has('content', _CUE)} AS subpage_heading, has_part_count, significant_link_count FROM sig JOIN lds USING (page_id)",
     PP.SIG[:3] + LD_CTES + [LD_SIGNALS],
 )
 def subpage_registry(spark, sf_dir):

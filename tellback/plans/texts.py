@@ -109,9 +109,9 @@ def text_counts(spark, sf_dir):
         + O.uniq(
             "list_filter(list_transform(string_split(regexp_replace(text, '([.!?。])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda p: "
             + O.squeeze("p")
-            + "), lambda p: length(p) BETWEEN 16 AND 90 AND regexp_matches(p, '(?i)[a-z가-힣0-9]'))"
+            + "), lambda p: length(p) >= 16 AND regexp_matches(p, '(?i)[a-z가-힣0-9]'))"
         )
-        + ")[1:12]"
+        + ")"
     )
     + " AS hints FROM documents",
 )
