@@ -24,7 +24,8 @@ from tellback.llm import util
 K = 20
 #: Vectors that centroids are learnt from at most: the ones with the smallest hash of their id.
 SAMPLE = 20_000
-#: Lists: about the root of the number of vectors, but not more than this; centroids are broadcast.
+#: Vectors per list; but there are no more than MAX_LISTS lists, as centroids are broadcast.
+LIST_ROWS = 2048
 MAX_LISTS = 16_384
 #: Share of the lists that a query visits. Vectors without clear clusters need many; recall is measured in tests/llm.
 PROBED = 0.75
@@ -81,7 +82,7 @@ def fit(rows: DataFrame, width: int) -> Index:
     if not len(found):
         return index
     sample = index.turned(_matrix(found, width), False)
-    lists = int(max(1, min(MAX_LISTS, round(stats["n"] ** 0.5), len(sample) // 8)))
+    lists = int(max(1, min(MAX_LISTS, round(stats["n"] / LIST_ROWS), len(sample) // 8)))
     centre = sample[random.choice(len(sample), lists, replace=False)]
     for _ in range(10):
         index.centroids = centre

@@ -252,6 +252,7 @@ def plain_nearest(rows, k):
 
 def test_neighbours_with_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CHUNK", 50)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 30)
     monkeypatch.setattr(neighbours, "QUERIES", 3)
     monkeypatch.setattr(neighbours, "PROBED", 1.0)
     rng = np.random.default_rng(4)
@@ -284,7 +285,8 @@ def test_few_vectors_and_none(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-def test_recall_on_the_table(spark):
+def test_recall_on_the_table(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 25)  # as many lists as a table of 40,000 vectors has
     got = queries.QUERIES["op7_nearest_neighbours"](spark, SF.replace("0.001", "0.01")).collect()
     data = spark.read.parquet(SF.replace("0.001", "0.01") + "/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, all_ = np.array([r.vec_id for r in data]), np.array([r.embedding for r in data], np.float64)
