@@ -95,28 +95,29 @@ def fit(rows: DataFrame, width: int) -> Index:
     return index
 
 
-def scan(query: np.ndarray, candidates: np.ndarray, k: int, limit: float) -> np.ndarray:
-    """Indices of the candidates that no test abandons against ``limit`` (squared distance, infinite while unknown) and the k best so far.
+def scan(query: np.ndarray, candidates: np.ndarray, k: int, partial: np.ndarray) -> np.ndarray:
+    """Indices of the candidates that no test abandons against the k-th smallest distance known.
 
-    The first candidates fill the k best; the rest are scanned block by block of columns.
+    ``partial`` has the squared distances over the first block of columns. The candidates that are nearest there are measured whole and
+    give the first limit; the rest are scanned block by block.
     """
     width = len(query)
     if len(candidates) <= 2 * k:
         return np.arange(len(candidates))
-    apart = ((candidates[: 2 * k] - query) ** 2).sum(1)
-    limit = min(limit, float(np.partition(apart, k - 1)[k - 1]))
-    alive = np.arange(2 * k, len(candidates))
-    partial = np.zeros(len(alive), np.float32)
-    for start in range(0, width, COLUMNS):
-        stop = min(start + COLUMNS, width)
-        partial = partial + ((candidates[alive, start:stop] - query[start:stop]) ** 2).sum(1)
+    first = np.argpartition(partial, 2 * k)[: 2 * k]
+    limit = float(np.partition(((candidates[first] - query) ** 2).sum(1), k - 1)[k - 1]) * (1 + 1e-5)
+    alive = np.arange(len(candidates))
+    for stop in range(COLUMNS, width + COLUMNS, COLUMNS):
+        if stop > COLUMNS:
+            start = stop - COLUMNS
+            partial = partial + ((candidates[alive, start:stop] - query[start:stop]) ** 2).sum(1)
         # the share stop/width of the distance, times what the estimate can be off at this significance
-        bound = limit * (1 + 1e-5) * (stop / width) * (1 + EPSILON / stop**0.5) ** 2 if stop < width else limit * (1 + 1e-5)
+        bound = limit * (stop / width) * (1 + EPSILON / stop**0.5) ** 2 if stop < width else limit
         keep = partial <= bound
         alive, partial = alive[keep], partial[keep]
         if not len(alive):
             break
-    return np.concatenate((np.arange(2 * k), alive))
+    return np.union1d(first, alive)
 
 
 def searched(vectors: DataFrame, queries: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -160,16 +161,19 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int = K, id: str = "vec_
     # a chunk meets each block of its queries in a task of its own
     dealt = dealt.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             order = np.argsort(left["id"].to_numpy(), kind="stable")
             ids, base = left["id"].to_numpy()[order], _matrix(left["v"].combine_chunks(), width)[order]
             turned = shared.value.turned(base, False)
             raw = _matrix(right["v"].combine_chunks(), width)
-            near = np.argsort(((turned - shared.value.centroids[key[0].as_py()]) ** 2).sum(1), kind="stable")
-            for name, q, t in zip(right["id"].to_pylist(), raw, shared.value.turned(raw, True)):
-                own = near[scan(t, turned[near], k + 1, np.inf)]
+            asking = shared.value.turned(raw, True)
+            # the first block of columns for all queries at once
+            head, first = turned[:, :COLUMNS], asking[:, :COLUMNS]
+            partial = (head**2).sum(1) + (first**2).sum(1)[:, None] - 2 * first @ head.T
+            for name, q, t, own in zip(right["id"].to_pylist(), raw, asking, partial):
+                own = scan(t, turned, k + 1, own)
                 own = own[ids[own] != name]
                 score = (base[own] * q).sum(1)
                 best = np.lexsort((ids[own], -score))[:k]
