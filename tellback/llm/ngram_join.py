@@ -40,7 +40,8 @@ SMALL_TOP = (SMALL - 1) * OF // SIMILAR
 SHARED = 45
 SPARE, SPARE_SMALL = 8, 2
 FEW = 32
-BLOCK = 1024
+#: Nodes of a block, and shingles of all its nodes.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Bits of the filter in front of the exact join with candidates.
 SIEVE_BITS = 24
 
@@ -330,7 +331,8 @@ def _in_blocks(members: DataFrame, groups: DataFrame, contents: DataFrame) -> Da
     # cells that share nodes make one cluster, so that no pair is looked at twice
     cluster = components(rooted.select(F.col("node").alias("a"), F.xxhash64("key", F.lit("cell")).alias("b"))).select("node", F.col("root").alias("cluster"))
     nodes = rooted.select("node", "root").distinct().join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    nodes = nodes.join(contents.select("node", "n"), "node")
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = (
         nodes.join(sizes, "cluster")
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
