@@ -71,7 +71,7 @@ def _valid(entries: Column) -> Column:
 LABEL_LINE = f"^[-*]?{T.WS}*([^:：]{{1,60}}){T.WS}*[:：]{T.WS}*(.+)$"
 
 
-def block_from_lines(content: Column) -> Column:
+def block_from_lines(content: Column, **cuts) -> Column:
     """Runs of two or more 'label: value' lines. A line without a colon ends a run,
     an unknown label does not; a later value of a field wins.
 
@@ -86,7 +86,7 @@ def block_from_lines(content: Column) -> Column:
     def entry(line: Column) -> Column:
         return T.let(
             field_of_label(F.regexp_extract(line, LABEL_LINE, 1)),
-            lambda f: _entry(f, normal_values(f, F.regexp_extract(line, LABEL_LINE, 2))),
+            lambda f: _entry(f, normal_values(f, F.regexp_extract(line, LABEL_LINE, 2), **cuts)),
         )
 
     kept = F.filter(F.transform(runs, lambda r: _valid(F.transform(r, entry))), lambda r: F.size(r) >= 2)
@@ -98,7 +98,7 @@ def _label_alternation() -> str:
     return "|".join(re.escape(a).replace("\\ ", " ") for a in aliases)
 
 
-def _from_window(window: Column) -> Column:
+def _from_window(window: Column, **cuts) -> Column:
     """Label/value pairs of running text; a value ends where the next label starts."""
     marked = F.regexp_replace(window, f"(?i)({_label_alternation()}){T.WS}*[:：]{T.WS}*", "\u0001$1\u0002")
     pieces = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
@@ -106,7 +106,7 @@ def _from_window(window: Column) -> Column:
     def entry(piece: Column) -> Column:
         return T.let(
             field_of_label(F.substring_index(piece, "\u0002", 1)),
-            lambda f: _entry(f, normal_values(f, F.regexp_extract(piece, "(?s)\u0002(.*)$", 1))),
+            lambda f: _entry(f, normal_values(f, F.regexp_extract(piece, "(?s)\u0002(.*)$", 1), **cuts)),
         )
 
     return T.let(
@@ -115,7 +115,7 @@ def _from_window(window: Column) -> Column:
     )
 
 
-def block_inline(content: Column, reach: int | None = None) -> Column:
+def block_inline(content: Column, reach: int | None = None, **cuts) -> Column:
     """Facts written as running text. The stretch after a facts heading is tried first, then the whole text.
 
     Without ``reach`` a stretch goes to the end of the text; the first heading's then holds all others.
@@ -138,20 +138,20 @@ def block_inline(content: Column, reach: int | None = None) -> Column:
         )
 
     def best(text: Column) -> Column:
-        anchored = F.filter(F.transform(windows(text), _from_window), lambda e: F.size(e) >= 2)
-        return F.coalesce(F.get(anchored, 0), _from_window(text))
+        anchored = F.filter(F.transform(windows(text), lambda w: _from_window(w, **cuts)), lambda e: F.size(e) >= 2)
+        return F.coalesce(F.get(anchored, 0), _from_window(text, **cuts))
 
     return T.let(T.squeeze(content), best)
 
 
-def facts_block(content: Column) -> Column:
-    """Line facts override inline facts."""
+def facts_block(content: Column, **cuts) -> Column:
+    """Line facts override inline facts. ``cuts`` are those of ``normal_values``."""
 
     def merge(lines: Column, inline: Column) -> Column:
         known = F.transform(lines, lambda e: e["field"])
         return F.concat(lines, F.filter(inline, lambda e: ~F.array_contains(known, e["field"])))
 
-    return T.let(block_from_lines(content), lambda a: T.let(block_inline(content), lambda b: merge(a, b)))
+    return T.let(block_from_lines(content, **cuts), lambda a: T.let(block_inline(content, **cuts), lambda b: merge(a, b)))
 
 
 def explode_entries(df: DataFrame, entries: Column, key: str = "page_id") -> DataFrame:
@@ -208,15 +208,16 @@ def eligible(docs: Column) -> Column:
     return F.filter(docs, lambda d: F.arrays_overlap(J.types(d), wanted))
 
 
-def ground_truth(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def ground_truth(pages: DataFrame, key: str = "page_id", **cuts) -> DataFrame:
     """One row per page and declared field: (values, source, sources).
 
     The facts block comes first; eligible JSON-LD documents fill the gaps in
-    document order, or confirm a block value by being added to its sources.
+    document order, or confirm a block value by being added to its sources. ``cuts`` (see
+    ``normal_values``) refuse values that are too long.
     """
     staged = pages.select(
         key,
-        facts_block(F.col("content")).alias("block"),
+        facts_block(F.col("content"), **cuts).alias("block"),
         eligible(J.graph_or_self(F.col("jsonld_blocks"))).alias("docs"),
     )
     no_values = F.lit(None).cast("array<string>")

@@ -207,11 +207,11 @@ def site_rollup(usable: DataFrame, key: str = "host") -> DataFrame:
     )
 
 
-def bundle_roles(usable: DataFrame, extras: int = 2, key: str = "host") -> DataFrame:
-    """Main page (lowest id) and the best usable sub-pages of every site: (page_id, role, role_pos).
+def bundle_roles(usable: DataFrame, extras: int | None = None, key: str = "host") -> DataFrame:
+    """Main page (lowest id) and the usable sub-pages of every site, best first: (page_id, role, role_pos).
 
-    Ranks run on ids and scores only, and rank limits are applied before the
-    shuffle, so a site with a third of all pages sends a handful of rows.
+    Ranks run on ids and scores only. With ``extras`` the rank limit is applied before the shuffle, so a site with
+    a third of all pages sends a handful of rows.
     """
     slim = usable.select(
         key, "page_id", "usable", T.let(F.lower(U.path(F.col("url"))), P.path_score).alias("path_score")
@@ -221,121 +221,143 @@ def bundle_roles(usable: DataFrame, extras: int = 2, key: str = "host") -> DataF
     # 'usable' is part of the order, not a filter before the window: a filter would be pushed
     # into the scan projection and repeat the whole signal computation inside the predicate
     best = Window.partitionBy(key).orderBy(F.desc("usable"), F.desc("path_score"), "page_id")
-    top = slim.withColumn("n", F.row_number().over(best)).filter((F.col("n") <= extras + 1) & F.col("usable"))
+    top = slim.withColumn("n", F.row_number().over(best))
+    top = top.filter(F.col("usable") if extras is None else (F.col("n") <= extras + 1) & F.col("usable"))
     kept = top.join(main, [key, "page_id"], "left_anti").withColumn("role_pos", F.row_number().over(best))
+    kept = kept if extras is None else kept.filter(F.col("role_pos") <= extras)
     return main.select(key, "page_id", F.lit("main").alias("role"), F.lit(0).alias("role_pos")).unionByName(
-        kept.filter(F.col("role_pos") <= extras).select(key, "page_id", F.lit("extra").alias("role"), "role_pos")
+        kept.select(key, "page_id", F.lit("extra").alias("role"), "role_pos")
     )
 
 
-def site_signal_merge(bundle: DataFrame, key: str = "host", headings: int = 10) -> DataFrame:
-    """Sums, ORs and heading unions over a site's bundle (at most one main and two extras)."""
-    union = lambda c: F.slice(
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("role_pos", F.col(c).alias("h")))), lambda s: s["h"]))),
-        1,
-        headings,
-    )
-    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("bigint")
-    extra_label = F.concat(F.lit("\n\n---\n[추가 페이지: "), U.path(F.col("url")), F.lit("]\n"), F.col("content"))
-    part = F.when(F.col("role") == "main", F.col("content")).otherwise(extra_label)
-    merged = bundle.groupBy(key).agg(
-        F.min_by("title", "role_pos").alias("title"),
+def site_pages(usable: DataFrame, key: str = "host") -> DataFrame:
+    """Every site's main page (lowest id) and all its other usable pages, with ``is_main`` and a sortable ``place``.
+
+    The main ids come from a second read of ids and hosts alone.
+    """
+    main = usable.groupBy(key).agg(F.min("page_id").alias("_main"))
+    placed = usable.join(main, key).withColumn("is_main", F.col("page_id") == F.col("_main"))
+    score = T.let(F.lower(U.path(F.col("url"))), P.path_score)
+    place = F.struct((~F.col("is_main")).alias("extra"), (-score).alias("score"), F.col("page_id").alias("id"))
+    return placed.filter(F.col("is_main") | F.col("usable")).withColumn("place", place).drop("_main")
+
+
+def _heading_rows(pages: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row per site and heading: its first place, and whether the main page has it. A heading of many pages is combined
+    before the shuffle."""
+    def of_kind(k: int):
+        return lambda h: F.struct(F.lit(k).alias("kind"), h.alias("heading"))
+
+    named = F.concat(*[F.transform(c, of_kind(k)) for k, c in enumerate(columns)])
+    rows = pages.select(key, "is_main", "place", *columns).select(key, "is_main", "place", F.posexplode(named).alias("pos", "h"))
+    return rows.select(key, "is_main", F.struct("place", "pos").alias("at"), "h.*")
+
+
+def site_signal_merge(pages: DataFrame, key: str = "host", headings: int = 10) -> DataFrame:
+    """Sums, ORs and heading counts over all pages of ``site_pages``, with the first ``headings`` headings of each level.
+
+    Sizes add up over the pages, each with its label, so no site's text is put together.
+    """
+    label = F.concat(F.lit("\n\n---\n[추가 페이지: "), U.path(F.col("url")), F.lit("]\n"))
+    part = F.when(F.col("is_main"), F.col("content")).otherwise(F.concat(label, F.col("content")))
+    sized = P.content_metrics(pages.withColumn("content", part)).withColumn("chars", F.length("content"))
+    merged = sized.groupBy(key).agg(
+        F.min_by("title", "place").alias("title"),
         F.count(F.lit(1)).alias("page_count"),
-        F.sum("list_items").alias("list_items"),
-        F.sum("tables").alias("tables"),
-        F.sum("images").alias("images"),
-        F.sum("images_without_alt").alias("images_without_alt"),
+        *[F.sum(c).alias(c) for c in ("list_items", "tables", "images", "images_without_alt", "words", "chars", "long_blocks")],
         F.bool_or("has_jsonld").alias("has_jsonld"),
         F.bool_or("has_og").alias("has_og"),
-        count("h1_texts").alias("h1_count"),
-        count("h2_texts").alias("h2_count"),
-        union("h1_texts").alias("h1_texts"),
-        union("h2_texts").alias("h2_texts"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("role_pos", part.alias("t")))), lambda s: s["t"]), ""
-        ).alias("content"),
+        (F.sum(F.col("text_ratio") * F.col("chars")) / F.greatest(F.sum("chars"), F.lit(1))).alias("text_ratio"),
+    )
+    distinct = _heading_rows(pages, key, "h1_texts", "h2_texts").groupBy(key, "kind", "heading").agg(F.min("at").alias("at"))
+    counts = distinct.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("h1_count"), F.count_if(F.col("kind") == 1).alias("h2_count"))
+    by_place = Window.partitionBy(key, "kind").orderBy("at", "heading")
+    first = distinct.withColumn("n", F.row_number().over(by_place)).filter(F.col("n") <= headings)
+    listed = lambda k: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("n", "heading")))), lambda x: x["heading"]
     )
-    return P.crawl_confidence(P.content_metrics(merged))
+    lists = first.groupBy(key).agg(listed(0).alias("h1_texts"), listed(1).alias("h2_texts"))
+    out = merged.join(counts, key, "left").join(lists, key, "left")
+    none = F.array().cast("array<string>")
+    filled = {c: F.coalesce(c, F.lit(0)) for c in ("h1_count", "h2_count")} | {c: F.coalesce(c, none) for c in ("h1_texts", "h2_texts")}
+    return P.crawl_confidence(out.withColumns(filled))
 
 
-def _fresh_headings(limit: int) -> Column:
-    """Aggregate: headings of extra pages, first seen first, that the main page lacks."""
-    heads = F.concat(F.slice("h1_texts", 1, 10), F.slice("h2_texts", 1, 10))
-    rows = F.array_sort(F.collect_list(F.struct("role_pos", heads.alias("heads"))))
-    of = lambda main: F.flatten(
-        F.transform(F.filter(rows, lambda r: (r["role_pos"] == 0) == F.lit(main)), lambda r: r["heads"])
-    )
-    return F.slice(F.array_except(of(False), of(True)), 1, limit)
+def _fresh(pages: DataFrame, key: str) -> DataFrame:
+    """Headings of extra pages that the main page lacks, with their first place."""
+    rows = _heading_rows(pages, key, "h1_texts", "h2_texts")
+    seen = rows.groupBy(key, "heading").agg(F.min("at").alias("at"), F.bool_or("is_main").alias("in_main"))
+    return seen.filter(~F.col("in_main")).drop("in_main")
 
 
-def site_gap(bundle: DataFrame, key: str = "host") -> DataFrame:
-    """What the extra pages add to the main page, in one aggregation over the bundle."""
-    is_main = F.col("role_pos") == 0
+def site_gap(pages: DataFrame, key: str = "host") -> DataFrame:
+    """What the extra pages add to the main page."""
+    is_main = F.col("is_main")
     label = F.concat(F.lit("--- [추가 페이지: "), U.path(F.col("url")), F.lit("]"))
     own = T.word_count(F.col("content"))
-    out = bundle.groupBy(key).agg(
+    out = pages.groupBy(key).agg(
         F.count_if(~is_main).alias("extra_pages"),
         F.coalesce(F.sum(F.when(~is_main, own + T.word_count(label))), F.lit(0)).alias("added_words"),
         F.bool_or(is_main & F.col("has_jsonld")).alias("main_jsonld"),
         F.bool_or("has_jsonld").alias("any_jsonld"),
         F.bool_or(is_main & F.col("has_og")).alias("main_og"),
         F.bool_or("has_og").alias("any_og"),
-        F.size(_fresh_headings(8)).alias("new_heading_count"),
     )
-    return out.select(
+    fresh = _fresh(pages, key).groupBy(key).agg(F.count(F.lit(1)).alias("new_heading_count"))
+    return out.join(fresh, key, "left").select(
         key,
         "extra_pages",
         "added_words",
         ((F.col("extra_pages") > 0) & (F.col("added_words") >= 50)).alias("meaningful"),
         (~F.col("main_jsonld") & F.col("any_jsonld")).alias("added_jsonld"),
         (~F.col("main_og") & F.col("any_og")).alias("added_og"),
-        F.col("new_heading_count").cast("bigint").alias("new_heading_count"),
+        F.coalesce("new_heading_count", F.lit(0)).cast("bigint").alias("new_heading_count"),
     )
 
 
-def new_headings(bundle: DataFrame, key: str = "host", limit: int = 8) -> DataFrame:
-    """Headings of extra pages that the main page lacks, first seen first, up to ``limit`` per site."""
-    fresh = bundle.groupBy(key).agg(_fresh_headings(limit).alias("fresh"))
-    return fresh.select(key, F.posexplode("fresh").alias("pos", "heading")).select(
-        key, (F.col("pos") + 1).cast("bigint").alias("rank"), "heading"
-    )
+def new_headings(pages: DataFrame, key: str = "host", limit: int | None = None) -> DataFrame:
+    """Headings of extra pages that the main page lacks, first seen first, up to ``limit`` per site when given."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("at", "heading"))
+    ranked = _fresh(pages, key).withColumn("rank", rank)
+    ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return ranked.select(key, F.col("rank").cast("bigint").alias("rank"), "heading")
 
 
+# Words that mark a sentence as saying what a site offers.
 SNIPPET_SIGNALS = ["입니다", "제공", "진단", "서비스", "플랫폼", "설립", "대표", "고객", "기업", "ai", "profile", "optimization"]
 
 
-def promoted_snippets(bundle: DataFrame, key: str = "host", per_page: int = 2, per_site: int = 4) -> DataFrame:
-    """Useful sentences on extra pages that the main page does not hold."""
-    is_main = F.col("role_pos") == 0
-    # a bundle holds at most one main and two extra pages, so both collected values are bounded
-    sites = bundle.groupBy(key).agg(
-        F.max(F.when(is_main, F.lower("content"))).alias("main_text"),
-        F.collect_list(F.when(~is_main, F.struct("page_id", "url", "role_pos", "content"))).alias("extras"),
-    )
-    extras = sites.select(key, "main_text", F.explode("extras").alias("x"))
-    text = F.regexp_replace("x.content", "\n+", " ")
-    cut = F.transform(F.split(text, f"(?<=[.!?。]|다\\.|요\\.){T.WS}+"), T.squeeze)
-    s = F.col("sentence")
-    fresh = (
-        extras.select(key, "main_text", "x.page_id", "x.url", "x.role_pos", F.posexplode(cut).alias("pos", "sentence"))
-        .filter(
-            F.length(s).between(40, 180)
+def promoted_snippets(
+    pages: DataFrame, key: str = "host", per_page: int | None = None, per_site: int | None = None, least_chars: int = 40
+) -> DataFrame:
+    """Useful sentences on extra pages that the main page does not hold.
+
+    Sentences are judged inside their page's row; only useful ones meet the main page, by an equi join to its one row.
+    """
+    text = F.regexp_replace("content", "\n+", " ")
+    cut = F.transform(F.split(text, f"(?<=[.!?。]|다\\.|요\\.){T.WS}+"), lambda x, i: F.struct(i.alias("pos"), T.squeeze(x).alias("sentence")))
+
+    def useful(x: Column) -> Column:
+        s = x["sentence"]
+        return (
+            (F.length(s) >= least_chars)
             & ~s.startswith("#")
             & ~s.rlike("(?i)^[qa][.:]")
             & s.rlike("[가-힣A-Za-z]")
             & T.contains_any(F.lower(s), SNIPPET_SIGNALS)
-            & ~F.contains(F.col("main_text"), F.lower(s))
         )
-        .drop("main_text")
-    )
+
+    kept = F.when(~F.col("is_main"), F.filter(cut, useful)).otherwise(F.array().cast("array<struct<pos:int,sentence:string>>"))
+    said = pages.select(key, "page_id", "url", "place", F.explode(kept).alias("x")).select(key, "page_id", "url", "place", "x.*")
+    main = pages.filter("is_main").select(key, F.lower("content").alias("main_text"))
+    fresh = said.join(main, key).filter(~F.contains(F.col("main_text"), F.lower("sentence"))).drop("main_text")
     by_page = Window.partitionBy(key, "page_id").orderBy("pos")
-    by_site = Window.partitionBy(key).orderBy("role_pos", "pos")
-    top = fresh.withColumn("n", F.row_number().over(by_page)).filter(F.col("n") <= per_page)
-    return (
-        top.withColumn("rank", F.row_number().over(by_site))
-        .filter(F.col("rank") <= per_site)
-        .select(key, "rank", U.path(F.col("url")).alias("source_path"), "sentence")
-    )
+    by_site = Window.partitionBy(key).orderBy("place", "pos")
+    if per_page is not None:
+        fresh = fresh.withColumn("n", F.row_number().over(by_page)).filter(F.col("n") <= per_page)
+    ranked = fresh.withColumn("rank", F.row_number().over(by_site))
+    ranked = ranked if per_site is None else ranked.filter(F.col("rank") <= per_site)
+    return ranked.select(key, "rank", U.path(F.col("url")).alias("source_path"), "sentence")
 
 
 def best_rendering(direct: DataFrame, rendered: DataFrame, key: str = "page_id") -> DataFrame:

@@ -283,23 +283,20 @@ _PS = PP._score_sql(f"lower({O.path('url')})")
 BUNDLE_CTES = PP.SIG + [
     f"""bundle AS MATERIALIZED (SELECT u.*, 'main' AS role, 0 AS role_pos FROM usig u WHERE page_id = (SELECT min(page_id) FROM usig v WHERE v.host = u.host)
   UNION ALL SELECT u.*, 'extra', rp FROM (SELECT page_id AS pid, row_number() OVER (PARTITION BY host ORDER BY {_PS} DESC, page_id) AS rp FROM usig u
-     WHERE usable AND page_id <> (SELECT min(page_id) FROM usig v WHERE v.host = u.host)) k JOIN usig u ON u.page_id = k.pid WHERE rp <= 2)""",
+     WHERE usable AND page_id <> (SELECT min(page_id) FROM usig v WHERE v.host = u.host)) k JOIN usig u ON u.page_id = k.pid)""",
     f"""merged AS MATERIALIZED (SELECT host, count(*) AS page_count, arg_min(title, role_pos) AS title, CAST(sum(list_items) AS BIGINT) AS list_items, CAST(sum(tables) AS BIGINT) AS tables, CAST(sum(images) AS BIGINT) AS images,
    CAST(sum(images_without_alt) AS BIGINT) AS images_without_alt, bool_or(has_jsonld) AS has_jsonld, bool_or(has_og) AS has_og,
    flatten(list(h1_texts ORDER BY role_pos)) AS h1_all, flatten(list(h2_texts ORDER BY role_pos)) AS h2_all,
    string_agg(CASE WHEN role = 'main' THEN content ELSE chr(10) || chr(10) || '---' || chr(10) || '[추가 페이지: ' || {O.path('url')} || ']' || chr(10) || content END, '' ORDER BY role_pos) AS content FROM bundle GROUP BY host)""",
     f"""mheads AS MATERIALIZED (SELECT *, {O.words('content')} AS words, {O.uniq('h1_all')} AS h1_u, {O.uniq('h2_all')} AS h2_u FROM merged)""",
     """fresh AS MATERIALIZED (SELECT host, heading, CAST(row_number() OVER (PARTITION BY host ORDER BY role_pos, pos, heading) AS BIGINT) AS rank FROM (
-   SELECT host, heading, arg_min(role_pos, role_pos * 1000 + pos) AS role_pos, arg_min(pos, role_pos * 1000 + pos) AS pos FROM (SELECT host, role, role_pos, unnest(hs) AS heading, generate_subscripts(hs, 1) AS pos FROM (SELECT host, role, role_pos, list_concat(h1_texts[1:10], h2_texts[1:10]) AS hs FROM bundle) a) b
-    WHERE role = 'extra' GROUP BY host, heading) c WHERE NOT EXISTS (SELECT 1 FROM bundle m WHERE m.role = 'main' AND m.host = c.host AND list_contains(list_concat(m.h1_texts[1:10], m.h2_texts[1:10]), c.heading)))""",
+   SELECT host, heading, arg_min(role_pos, (role_pos, pos)) AS role_pos, arg_min(pos, (role_pos, pos)) AS pos FROM (SELECT host, role, role_pos, unnest(hs) AS heading, generate_subscripts(hs, 1) AS pos FROM (SELECT host, role, role_pos, list_concat(h1_texts, h2_texts) AS hs FROM bundle) a) b
+    WHERE role = 'extra' GROUP BY host, heading) c WHERE NOT EXISTS (SELECT 1 FROM bundle m WHERE m.role = 'main' AND m.host = c.host AND list_contains(list_concat(m.h1_texts, m.h2_texts), c.heading)))""",
 ]
 
 
 def bundle(spark, sf_dir):
-    """Signals of bundled pages only: roles come from a slim pass, then few pages are read fully."""
-    roles = S.bundle_roles(PP.usable_signals(spark, sf_dir)).drop("host")
-    kept = view(spark, sf_dir, "fv_rich").join(roles, "page_id")
-    return P.page_signals(kept, x_robots="x_robots")
+    return S.site_pages(PP.usable_signals(spark, sf_dir))
 
 
 @query(
@@ -321,11 +318,11 @@ def candidate_pages_topk(spark, sf_dir):
 def site_signal_merge(spark, sf_dir):
     return S.site_signal_merge(bundle(spark, sf_dir)).select(
         "host", "page_count", "title", "list_items", "tables", "images", "images_without_alt", "has_jsonld", "has_og",
-        "h1_count", "h2_count", "h1_texts", "h2_texts", "words", F.length("content").alias("chars"),
+        "h1_count", "h2_count", "h1_texts", "h2_texts", "words", "chars",
     )
 
 
-@query("new_headings", ["fv_rich"], "SELECT host, rank, heading FROM fresh WHERE rank <= 8", BUNDLE_CTES)
+@query("new_headings", ["fv_rich"], "SELECT host, rank, heading FROM fresh", BUNDLE_CTES)
 def new_headings(spark, sf_dir):
     return S.new_headings(bundle(spark, sf_dir))
 
@@ -335,7 +332,7 @@ def new_headings(spark, sf_dir):
     ["fv_rich"],
     f"""SELECT m.host, m.page_count - 1 AS extra_pages, greatest(m.words - {O.words('b.content')}, 0) AS added_words, m.page_count > 1 AND greatest(m.words - {O.words('b.content')}, 0) >= 50 AS meaningful,
   NOT b.has_jsonld AND m.has_jsonld AS added_jsonld, NOT b.has_og AND m.has_og AS added_og, coalesce(f.n, 0) AS new_heading_count
- FROM mheads m JOIN bundle b ON b.host = m.host AND b.role = 'main' LEFT JOIN (SELECT host, count(*) AS n FROM fresh WHERE rank <= 8 GROUP BY host) f ON f.host = m.host""",
+ FROM mheads m JOIN bundle b ON b.host = m.host AND b.role = 'main' LEFT JOIN (SELECT host, count(*) AS n FROM fresh GROUP BY host) f ON f.host = m.host""",
     BUNDLE_CTES,
 )
 def site_gap(spark, sf_dir):
@@ -352,9 +349,9 @@ _CUT = f"string_split(regexp_replace(regexp_replace(content, '\\n+', ' ', 'g'),
     f"""SELECT host, CAST(rank AS BIGINT) AS rank, source_path, sentence FROM (SELECT host, sentence, {O.path('url')} AS source_path, row_number() OVER (PARTITION BY host ORDER BY role_pos, pos) AS rank FROM (
    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM (SELECT host, page_id, url, role_pos, pos, {O.squeeze('raw')} AS sentence FROM (
      SELECT host, page_id, url, role_pos, unnest(cs) AS raw, generate_subscripts(cs, 1) AS pos FROM (SELECT *, {_CUT} AS cs FROM bundle WHERE role = 'extra') a) b) c
-    WHERE length(sentence) BETWEEN 40 AND 180 AND sentence NOT LIKE '#%' AND NOT regexp_matches(sentence, '(?i)^[qa][.:]') AND regexp_matches(sentence, '[가-힣A-Za-z]')
+    WHERE length(sentence) >= 40 AND sentence NOT LIKE '#%' AND NOT regexp_matches(sentence, '(?i)^[qa][.:]') AND regexp_matches(sentence, '[가-힣A-Za-z]')
       AND regexp_matches(lower(sentence), '{'|'.join(S.SNIPPET_SIGNALS)}')
-      AND NOT EXISTS (SELECT 1 FROM bundle m WHERE m.role = 'main' AND m.host = c.host AND contains(lower(m.content), lower(c.sentence)))) d WHERE n <= 2) e WHERE rank <= 4""",
+      AND NOT EXISTS (SELECT 1 FROM bundle m WHERE m.role = 'main' AND m.host = c.host AND contains(lower(m.content), lower(c.sentence)))) d) e""",
     BUNDLE_CTES[:-3],
 )
 def promoted_snippets(spark, sf_dir):

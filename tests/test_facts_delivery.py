@@ -5,13 +5,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tellback import dims
 from tellback.operators import delivery as D
 from tellback.operators import facts as X
 
 
-def truth_of(spark, content="", blocks=()):
+def truth_of(spark, content="", blocks=(), **cuts):
     df = spark.createDataFrame([(1, content, list(blocks))], "page_id long, content string, jsonld_blocks array<string>")
-    return {r["field"]: (r["values"], r["source"], r["sources"]) for r in X.ground_truth(df).collect()}
+    return {r["field"]: (r["values"], r["source"], r["sources"]) for r in X.ground_truth(df, **cuts).collect()}
 
 
 def test_founder_as_string(spark):
@@ -44,11 +45,20 @@ def test_inline_block(spark):
 
 
 def test_inline_block_followed_by_prose(spark):
-    got = truth_of(spark, INLINE + " 핵심 관찰 " + "긴 본문이 이어져도 값이 늘어나지 않아야 한다 " * 6)
+    got = truth_of(spark, INLINE + " 핵심 관찰 " + "긴 본문이 이어져도 값이 늘어나지 않아야 한다 " * 6, limits=dims.MAX_VALUE_LENGTH, item_chars=80, items=8)
     assert got["description"][0] == ["Nimbus는 기상 자료를 분석해 주는 서비스입니다."]
     assert all(len(i) < 60 for i in got["key_products"][0])
 
 
+def test_long_values_are_kept(spark):
+    products = [f"product number {k} " + "with a long name " * 6 for k in range(12)]
+    text = "Lorem ipsum. " * 3000 + "\nName: A\nFounded: 1999\nDescription: " + "very long " * 500 + "\nProducts: " + ", ".join(products)
+    got = truth_of(spark, text)
+    assert got["key_products"][0] == [p.strip() for p in products] and len(got["description"][0][0]) > 4000
+    inline = "Facts summary Name: A Founded: 1999 " + "prose without any label " * 200 + "Headquarters: Busan"
+    assert truth_of(spark, inline)["headquarters"][0] == ["Busan"]
+
+
 def test_alternate_names(spark):
     block = json.dumps({"@type": "Organization", "name": "N", "alternateName": ["Nimbus Weather", "님버스"]})
     df = spark.createDataFrame([(1, [block])], "page_id long, jsonld_blocks array<string>")

@@ -112,7 +112,9 @@ def test_absent_artifact_is_empty(spark, tmp_path):
 def test_site_roles_with_a_hot_site(spark):
     rows = [(i, "hot.example" if i % 3 == 0 else f"s{i % 50}.example", f"https://x.example/{'about' if i % 7 == 0 else 'p'}{i}", i % 5 != 0) for i in range(600)]
     df = spark.createDataFrame(rows, "page_id long, host string, url string, usable boolean").repartition(5)
-    got = S.bundle_roles(df).collect()
+    got = S.bundle_roles(df, extras=2).collect()
+    every = S.bundle_roles(df)
+    assert every.count() == sum(r[3] for r in rows) + sum(not next(r for r in rows if r[1] == h)[3] for h in {r[1] for r in rows})
     per = {}
     for r in got:
         per.setdefault(r["host"], []).append(r)
@@ -123,3 +125,59 @@ def test_site_roles_with_a_hot_site(spark):
         for r in roles:
             if r["role"] == "extra":
                 assert next(x for x in own if x[0] == r["page_id"])[3]
+
+
+def test_every_page_of_a_site_counts(spark):
+    """Fifty pages of one site: no page, heading or sentence is left out."""
+    said = lambda k: f"The profile of number {k} is described in a sentence that is long enough to be of use to readers."
+    rows = [
+        (k, "a.example", f"https://a.example/p{k}", True, "t", 1, 0, 0, 0, k == 30, False, ["Top"], [f"Head {j}" for j in range(25)] + [f"Own {k}"], said(k) + " " + said(k + 100))
+        for k in range(50)
+    ]
+    columns = "page_id long, host string, url string, usable boolean, title string, list_items long, tables long, images long, images_without_alt long, has_jsonld boolean, has_og boolean, h1_texts array<string>, h2_texts array<string>, content string"
+    pages = S.site_pages(spark.createDataFrame(rows, columns).repartition(4))
+    merged = S.site_signal_merge(pages).first()
+    assert (merged.page_count, merged.list_items, merged.h1_count, merged.h2_count) == (50, 50, 1, 75) and len(merged.h2_texts) == 10
+    gap = S.site_gap(pages).first()
+    assert (gap.extra_pages, gap.new_heading_count, gap.added_jsonld) == (49, 49, True)
+    assert S.new_headings(pages).count() == 49 and S.new_headings(pages, limit=8).count() == 8
+    assert S.promoted_snippets(pages).count() == 98 and S.promoted_snippets(pages, per_page=1, per_site=4).count() == 4
+
+
+def quota_case():
+    import random
+
+    rnd, day = random.Random(1), 86_400_000
+    rows = [("hot", i, rnd.randrange(0, 9 * day)) for i in range(100_000)] + [("hot", 100_000 + i, 40 * day + rnd.randrange(0, 2 * day)) for i in range(2000)]
+    rows += [(f"k{i % 7}", 200_000 + i, rnd.randrange(0, 100 * day)) for i in range(200)] + [("t", 300_000 + i, 5 * day) for i in range(5)]
+    rows += [("t", 310_000, 6 * day - 1), ("t", 310_001, 6 * day), ("t", 310_002, 7 * day - 1), ("t", 310_003, 7 * day)]
+    rnd.shuffle(rows)
+    want, state = {}, {}
+    for k, i, ms in sorted(rows, key=lambda e: (e[0], e[2], e[1])):
+        count, reset = state.get(k, (0, 0))
+        if count == 0 or reset <= ms:
+            count, reset = 0, ms + day
+        count += 1
+        state[k] = (count, reset)
+        want[i] = (k, count, count <= 2, max(2 - count, 0), -(-(reset - ms) // 1000))
+    return rows, want, day
+
+
+def test_quota_of_a_hot_key_in_small_arrow_batches(spark, tmp_path):
+    from tellback.streaming import jobs as J
+    from tellback.streaming import quota as Q
+
+    rows, want, day = quota_case()
+    asked = spark.createDataFrame(rows, "key string, event_id long, ms long").repartition(5)
+    decided = lambda df: {r.event_id: (r.key, r.request_no, r.allowed, r.remaining, r.reset_seconds) for r in df.collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert decided(Q.quota_windows(asked, day, 2, "event_id")) == want
+        asked.coalesce(1).write.parquet(f"{tmp_path}/in")
+        for late in (None, "1 hour"):
+            stream = J.file_stream(spark, f"{tmp_path}/in", asked.schema, "parquet")
+            J.keep_table(Q.quota_stream(stream, day, 2, "event_id", late), f"{tmp_path}/o{late}", f"{tmp_path}/c{late}").awaitTermination()
+            assert decided(spark.read.parquet(f"{tmp_path}/o{late}")) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
