@@ -200,16 +200,17 @@ def small_table(spark: SparkSession, rows: list[tuple], *names: str) -> DataFram
     return F.broadcast(spark.range(1).selectExpr("inline(array(" + ", ".join(structs) + "))"))
 
 # Words that carry no service meaning.
-STOP_WORDS = (
-    "and the of for a an in is to that this with it its are was be at by from as or but co inc ltd "
-    "이 가 을 를 의 에 와 과 한 하는 있는 하여 위한"
-).split()
+STOP_WORDS = [
+    "and", "the", "of", "for", "a", "an", "in", "is", "to", "that", "this", "with", "it", "its", "are", "was", "be",
+    "at", "by", "from", "as", "or", "but", "co", "inc", "ltd", "이", "가", "을", "를", "의", "에", "와", "과", "한", "하는",
+    "있는", "하여", "위한",
+]
 
 # Business words too general to define a service.
-GENERIC_TERMS = (
-    "company official website business brand platform service services solution solutions "
-    "기업 회사 공식 브랜드 서비스 솔루션 플랫폼"
-).split()
+GENERIC_TERMS = [
+    "company", "official", "website", "business", "brand", "platform", "service", "services", "solution", "solutions",
+    "기업", "회사", "공식", "브랜드", "서비스", "솔루션", "플랫폼",
+]
 
 # Phrases by which an answer says it does not know the entity.
 UNKNOWN_SIGNALS = [
@@ -245,10 +246,12 @@ HEDGED_SIGNALS = [
 ]
 
 # Words that mark a specific claim.
-CLAIM_WORDS = (
-    "서비스 제품 고객 매출 ceo 대표 설립 founded industry 플랫폼 company 기업 브랜드 기술 솔루션 반도체 핀테크 교육 가격 도입 사례 비교 연구 행정 기록 지원서 "
-    "citation profile monitoring research compound material materials coating office records application admission campus"
-).split()
+CLAIM_WORDS = [
+    "서비스", "제품", "고객", "매출", "ceo", "대표", "설립", "founded", "industry", "플랫폼", "company", "기업", "브랜드", "기술", "솔루션",
+    "반도체", "핀테크", "교육", "가격", "도입", "사례", "비교", "연구", "행정", "기록", "지원서", "citation", "profile", "monitoring",
+    "research", "compound", "material", "materials", "coating", "office", "records", "application", "admission",
+    "campus",
+]
 
 # Words of a comparison.
 COMPARISON_CUE = "비교|경쟁|대안|차이|대비|vs(?![A-Za-z0-9_])|versus|alternative|alternatives|competitor|competitors|compare|comparison"

@@ -10,7 +10,8 @@ from tellback.functions import jsonld as J
 from tellback.functions import text as T
 from tellback.functions import urls as U
 
-NEGATIVE = "(?i)찾지\\s*못|확인할?\\s*수\\s*없|not\\s*found|없음|n/a"
+# Phrases that say a fact was not found, and lines that begin another field.
+NEGATIVE = f"(?i)찾지{T.WS}*못|확인할?{T.WS}*수{T.WS}*없|not{T.WS}*found|없음|n/a"
 OTHER_FIELD = "\\*\\*[^*]+\\*\\*\\s*:|[-*]\\s*\\*\\*[^*]+\\*\\*\\s*:|^[a-z_ ]+\\s*:|^[가-힣A-Za-z ]+\\s*:"
 YEARS_SINCE = "18|19|20"
 

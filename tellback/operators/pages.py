@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -265,22 +267,22 @@ def path_score(p: Column) -> Column:
     ).cast("bigint")
 
 
-def _excluded(p: Column) -> Column:
-    def hit(bare: Column) -> Column:
-        prefixes = "|".join(dims.EXCLUDED_PREFIXES)
-        return bare.isin(dims.EXCLUDED_PATHS) | bare.rlike(f"^(?:{prefixes})")
-
-    return T.let(F.regexp_replace(p, "/+$", ""), hit)
+def excluded_paths(paths: list[str] = dims.EXCLUDED_PATHS, prefixes: list[str] = dims.EXCLUDED_PREFIXES) -> str:
+    """Pattern of these paths, with or without slashes behind, and of all that starts with one of the prefixes."""
+    return "^(?:" + "|".join([*(re.escape(p) + "/*$" for p in paths), *(re.escape(p) + ".*[^/]" for p in prefixes)]) + ")"
 
 
 def _useful(p: Column) -> Column:
     return (p != "/") & (F.size(F.split(p, "/")) <= 4) & T.contains_any(p, dims.USEFUL_PATH_WORDS)
 
 
-def link_candidates(signals: DataFrame, home_paths: list[str] | None = None, key: str = "page_id") -> DataFrame:
+def link_candidates(
+    signals: DataFrame, home_paths: list[str] | None = None, key: str = "page_id", excluded: str | None = None
+) -> DataFrame:
     """Sub-page candidates of every page: useful same-site links, then usual paths.
 
-    Home pages get only ``home_paths``. One row per candidate, best score first;
+    Home pages get only ``home_paths``. ``excluded`` is a pattern of lower-case paths that are no candidates, such as
+    ``excluded_paths()``. One row per candidate, best score first;
     duplicates by comparison key keep the earliest link.
     """
     home_paths = dims.HOME_CANDIDATES if home_paths is None else home_paths
@@ -293,7 +295,7 @@ def link_candidates(signals: DataFrame, home_paths: list[str] | None = None, key
         lambda p: F.concat(U.origin(F.col("url")), p),
     )
     found = F.filter(
-        F.col("links"), lambda u: T.let(F.lower(U.path(u)), lambda p: _useful(p) & ~_excluded(p))
+        F.col("links"), lambda u: T.let(F.lower(U.path(u)), lambda p: _useful(p) & (~p.rlike(excluded) if excluded else F.lit(True)))
     )
     rows = signals.select(
         key,

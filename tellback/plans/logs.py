@@ -219,11 +219,11 @@ def _cell(e: str) -> str:
 @query(
     "delivery_comparison",
     ["fv_log_answers"],
-    f"SELECT url, CASE WHEN regexp_replace({O.path('url')}, '(.)/$', '\\1') LIKE '/en/%' THEN 'external' ELSE 'external' END AS kind, {_cell('chatgpt')}, {_cell('gemini')}, {_cell('perplexity')} FROM lm GROUP BY url",
+    f"SELECT url, CASE WHEN regexp_matches(regexp_replace({O.path('url')}, '(.)/$', '\\1'), '^/en/[1-4][0-9][0-9]$') THEN 'own' WHEN regexp_matches(regexp_replace({O.path('url')}, '(.)/$', '\\1'), '^/de/[1-9][0-9]?$') THEN 'experiment' ELSE 'external' END AS kind, {_cell('chatgpt')}, {_cell('gemini')}, {_cell('perplexity')} FROM lm GROUP BY url",
     LOG_CTES,
 )
 def delivery_comparison(spark, sf_dir):
-    return V.delivery_comparison(newest(spark, sf_dir), ["chatgpt", "gemini", "perplexity"], ["/", "/ai-profile"], [])
+    return V.delivery_comparison(newest(spark, sf_dir), ["chatgpt", "gemini", "perplexity"], [f"/en/{n}" for n in range(100, 500)], [f"/de/{n}" for n in range(1, 100)])
 
 
 REPORT_CTES = LOG_CTES + [

@@ -269,10 +269,6 @@ def selection_score(spark, sf_dir):
 
 # --- links and URLs -------------------------------------------------------------
 _PATH = "lower(" + O.path("u") + ")"
-_EXCL = (
-    f"(regexp_matches({O.sub(_PATH, '/+$')}, '^(/diagnose|/insights|/llms.txt|/robots.txt|/sitemap.xml)$') "
-    f"OR regexp_matches({O.sub(_PATH, '/+$')}, '^/(products|insights|experiments)/'))"
-)
 _USEFUL = f"({_PATH} <> '/' AND len(string_split({_PATH}, '/')) <= 4 AND regexp_matches({_PATH}, 'about|company|service|product|contact|who-we-are|회사|소개|서비스|제품|문의'))"
 _USUAL = "['/about','/about-us','/company','/who-we-are','/contact','/product','/products','/service','/services','/company-info','/회사소개','/서비스','/제품','/contact-us']"
 
@@ -288,7 +284,7 @@ def _score_sql(p: str) -> str:
 CAND_CTES = [
     f"""cand_all AS (SELECT page_id, url, unnest(cs) AS candidate, generate_subscripts(cs, 1) - 1 AS pos FROM (
    SELECT page_id, url, CASE WHEN {O.trimmed_path('url')} = '' THEN [{O.origin('url')} || '/ai-profile']
-     ELSE list_concat(list_filter(links, lambda u: {_USEFUL} AND NOT {_EXCL}), list_transform({_USUAL}, lambda p: {O.origin('url')} || p)) END AS cs FROM sig) a)""",
+     ELSE list_concat(list_filter(links, lambda u: {_USEFUL}), list_transform({_USUAL}, lambda p: {O.origin('url')} || p)) END AS cs FROM sig) a)""",
     f"""cand AS MATERIALIZED (SELECT page_id, url, dedupe_key, arg_min(candidate, pos) AS candidate, min(pos) AS pos, {_score_sql('lower(' + O.path('arg_min(candidate, pos)') + ')')} AS path_score
    FROM (SELECT *, {O.dedupe_key('candidate')} AS dedupe_key FROM cand_all) k WHERE dedupe_key <> {O.dedupe_key('url')} GROUP BY page_id, url, dedupe_key)""",
 ]

@@ -121,3 +121,13 @@ def test_entity_definition(spark):
     df = spark.createDataFrame(rows, "h1_texts array<string>, title string, content string, want boolean")
     for r in P.entity_definition(df).collect():
         assert r["defines_entity"] == r["want"], r
+
+
+def test_excluded_paths_are_a_parameter():
+    import re
+
+    from tellback.operators.pages import excluded_paths
+
+    hit = lambda p: bool(re.search(excluded_paths(), p))
+    assert all(map(hit, ["/diagnose", "/insights/", "/products/x", "/experiments/a/b/"]))
+    assert not any(map(hit, ["/products", "/products/", "/diagnoses", "/about/products/x"]))
