@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of five-word shingles at a similarity of 0.75 form, the document with the smallest id stays.
 
-    Rows that repeat an id and a text stay once. Documents without an id stay.
+    Rows that repeat an id and a text stay once. Rows with one id and different texts go together. Documents without an id stay.
     """
     groups = ngram_join.similar_groups(docs)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that one numpy step looks at; its arrays take about 60 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def folder(spark: SparkSession, name: str) -> str:
