@@ -7,7 +7,7 @@ out. For each block the density is its characters per tag, lowered for text in l
 
 with characters C, tags T, characters and tags in links LC and LT, and b for the body. The block with the largest sum of its children's
 densities holds the text; an ``article`` or ``main`` around it is taken whole. Without one, blocks beside the path from the body to it are added
-when they are at least as dense as the least dense block of that path. Nothing within the chosen blocks is dropped.
+when they are at least as dense as the least dense block of that path. Nothing else within the chosen blocks is dropped.
 """
 
 from __future__ import annotations
@@ -28,12 +28,15 @@ _MARKUP = re.compile(
     re.S,
 )
 _TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Parts of formulas: text in a line, and no mark-up that makes an article less dense.
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE |= MATH
 #: Elements that end an open one of the same kind within the nearest container.
 ENDS = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
@@ -42,29 +45,38 @@ ENDS = {
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 NOT_TEXT = frozenset("head nav footer aside form button select datalist dialog menu object audio video canvas".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note".split())
-#: Words in class or id that name what is no part of an article.
+#: Whole words of class, or a whole id, that name what is no part of an article.
 NOT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
     "footer header masthead sidebar aside cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup "
     "login comment comments disqus replies reactions respond share sharing social related recommended recommendations widget pagination pager toolbar "
     "skip hidden".split()
 )
-_NAME_PART = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What no name leaves out, and what none leaves out within an article: headings and their links, sections, tables.
+NAMELESS = HEADINGS | frozenset("html body article main tr thead th".split())
+NAMELESS_IN_ARTICLE = frozenset("section table caption tbody tfoot td".split())
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _left_out(tag: str, attributes: str, in_article: bool, in_heading: bool) -> tuple[bool, bool]:
+    """Whether the element is left out whatever it holds, and whether it is if it does not hold the article."""
     if tag in NOT_TEXT or (tag == "header" and not in_article):
-        return True
+        return tag != "form", tag == "form"
     if not attributes or attributes.isspace():
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if found.get("role", "").lower() in NOT_ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes):
-        return True
+        return False, False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if found.get("role", "").lower() in NOT_ROLES or found.get("aria-hidden", "").lower() == "true" or found.get("hidden", "until-found").lower() != "until-found":
+        return True, False
     if "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    return any(not NOT_NAMES.isdisjoint(_NAME_PART.findall(found.get(k, "").lower())) for k in ("class", "id"))
+        return True, False
+    if tag in NAMELESS or in_heading:
+        return False, False
+    names = found.get("class", "").lower().split()
+    if in_article and (tag in NAMELESS_IN_ARTICLE or "section" in names):
+        return False, False
+    return False, not NOT_NAMES.isdisjoint(names) or found.get("id", "").strip().lower() in NOT_NAMES
 
 
 class Page:
@@ -73,8 +85,10 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent = ["body"], [-1]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
+        self.named: dict[int, bool] = {}  # blocks that are left out if they do not hold the article: whether they are within one
         self.pieces: list[tuple[int, str]] = []  # (block, text); an empty text parts what stands around it
         self._read(source)
+        self._leave_out()
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, block, left out, in a link, in an article
@@ -141,11 +155,13 @@ class Page:
                         pieces.append((block, ""))
                 continue
             article = article or tag in ("article", "main")
-            out = out or _left_out(tag, match[3] or "", article)
+            named = False
+            if not out:
+                out, named = _left_out(tag, match[3] or "", article, any(counts.get(h) for h in HEADINGS))
             link = link or tag == "a"
             if not out:
-                if tag in INLINE:
-                    self.tags[block] += 1
+                if tag in INLINE and not named:
+                    self.tags[block] += tag not in MATH
                     if link:
                         self.link_tags[block] += 1
                 elif tag not in ("html", "body"):
@@ -154,12 +170,37 @@ class Page:
                     for values, first in ((self.chars, 0), (self.tags, 1), (self.link_chars, 0), (self.link_tags, int(link))):
                         values.append(first)
                     block = len(self.tag) - 1
+                    if named:
+                        self.named[block] = article
             if tag not in INLINE:
                 pieces.append((block, ""))
             counts[tag] = counts.get(tag, 0) + 1
             stack.append((tag, block, out, link, article))
         text(source[at:])
 
+    def _leave_out(self) -> None:
+        """Empties the blocks whose names leave them out.
+
+        Those stay that hold an article or most of the page's text; the latter only within an article or where no article holds text, as comments may
+        well be longer than the article they are about.
+        """
+        self.out = np.zeros(len(self.tag), bool)
+        if not self.named:
+            return
+        held, articles = self.chars[:], [tag in ("article", "main") for tag in self.tag]
+        for k in range(len(self.tag) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+            articles[k] = articles[k] and held[k] > 0
+        holds = articles[:]
+        for k in range(len(self.tag) - 1, 0, -1):
+            holds[self.parent[k]] = holds[self.parent[k]] or holds[k]
+        for k in range(1, len(self.tag)):
+            most = k in self.named and 2 * held[k] > held[0] and (self.named[k] or not holds[0])
+            if self.out[self.parent[k]] or k in self.named and not holds[k] and not most:
+                self.out[k] = True
+                for values in (self.chars, self.tags, self.link_chars, self.link_tags):
+                    values[k] = 0
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Density of each block, and the sum of the densities of its children and of its own text."""
         n = len(self.tag)
@@ -205,7 +246,7 @@ class Page:
                     chosen[k] = True
         for k in range(1, n):
             chosen[k] |= chosen[self.parent[k]]
-        return " ".join("".join(part or " " for block, part in self.pieces if chosen[block] or not part).split())
+        return " ".join("".join(part or " " for block, part in self.pieces if chosen[block] and not self.out[block] or not part).split())
 
 
 def main_text(source: str | None) -> str:

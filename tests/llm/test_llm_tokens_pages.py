@@ -175,6 +175,23 @@ def test_main_text_without_marks():
     assert got.startswith("A title") and got.endswith("Short.") and "link 3" not in got and all(f"Paragraph {k} " in got for k in range(8))
 
 
+def test_names_leave_out_no_article_text():
+    words = "Enough words of an article to be the text of this page, told in one long sentence."
+    for attributes in ('class="has-sidebar"', 'class="page with-header"', 'id="content-overlay"', 'class="sidebar"', 'class="modal"', 'title="the hidden cost"', 'data-x1="class=\'ad\'"'):
+        assert html_text.main_text(f"<body><div {attributes}><p>{words}</p></div></body>") == words
+        assert html_text.main_text(f"<body><div {attributes}><article><p>{words}</p></article></div><div class='comments'><p>{words * 3}</p></div></body>") == words
+    inside = (
+        '<div class="entry-header"><h1 id="related">Title</h1></div><section id="related-work"><h2>Related work</h2></section><section id="sharing"><p>Shared</p></section>'
+        '<h2><a class="header" href="#x">Linked</a></h2><table><tr class="header"><th class="menu">Head</th></tr><tr><td class="notice">Cell</td></tr></table><p title="the hidden cost">Cost</p>'
+        '<p>so <math><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></math> is</p>'
+    )
+    left = '<div class="box ad">Buy</div><p hidden>No</p><p hidden="hidden">No</p><span class="share">Share</span>'
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<body><{tag}>{inside}{left}<p>{words}</p></{tag}></body>") == f"Title Related work Shared Linked Head Cell Cost so x2 is {words}"
+    assert html_text.main_text(f"<body><article><div class='widget'><p>{words}</p></div><p>End.</p></article></body>") == f"{words} End."
+    assert html_text.main_text(f"<body><form><div><p>{words}</p></div></form></body>") == words
+
+
 def test_broken_pages_end_soon():
     import time
 
