@@ -3,7 +3,7 @@
 The largest inner product is the smallest distance once each vector has one more component that brings all to the norm of the longest; queries get a
 zero there. The vectors are rotated at random, so that the distance over the first columns is an unbiased estimate of the whole. A list's
 vectors are scanned in blocks of columns: after each block a hypothesis test abandons the candidates whose partial distance is too large for the
-query's best so far. What survives is scored exactly on the original vectors.
+query's best so far. What survives is scored exactly on the original vectors. Equal vectors of a chunk are scanned once, so that they all survive or none does.
 
 Centroids come from a bounded sample, every vector is indexed. A list is cut into chunks of bounded size and the queries of a chunk into blocks, so that a
 frequent vector or query is spread over tasks; the best of each chunk are merged.
@@ -34,6 +34,8 @@ QUERIES = 512
 COLUMNS = 16
 #: Significance of the test in standard deviations; larger abandons later.
 EPSILON = 2.1
+#: What 32-bit distances can be off by at most, as a share of the squared norms they come from.
+SLACK = 1e-6
 
 
 @dataclass
@@ -95,17 +97,17 @@ def fit(rows: DataFrame, width: int) -> Index:
     return index
 
 
-def scan(query: np.ndarray, candidates: np.ndarray, k: int, partial: np.ndarray) -> np.ndarray:
+def scan(query: np.ndarray, candidates: np.ndarray, k: int, partial: np.ndarray, slack: float) -> np.ndarray:
     """Indices of the candidates that no test abandons against the k-th smallest distance known.
 
     ``partial`` has the squared distances over the first block of columns. The candidates that are nearest there are measured whole and
-    give the first limit; the rest are scanned block by block.
+    give the first limit; the rest are scanned block by block. ``slack`` is what a distance can be off by; no candidate goes for less.
     """
     width = len(query)
     if len(candidates) <= 2 * k:
         return np.arange(len(candidates))
     first = np.argpartition(partial, 2 * k)[: 2 * k]
-    limit = float(np.partition(((candidates[first] - query) ** 2).sum(1), k - 1)[k - 1]) * (1 + 1e-5)
+    limit = float(np.partition(((candidates[first] - query) ** 2).sum(1), k - 1)[k - 1]) * (1 + 1e-5) + slack
     alive = np.arange(len(candidates))
     for stop in range(COLUMNS, width + COLUMNS, COLUMNS):
         if stop > COLUMNS:
@@ -113,7 +115,7 @@ def scan(query: np.ndarray, candidates: np.ndarray, k: int, partial: np.ndarray)
             partial = partial + ((candidates[alive, start:stop] - query[start:stop]) ** 2).sum(1)
         # the share stop/width of the distance, times what the estimate can be off at this significance
         bound = limit * (stop / width) * (1 + EPSILON / stop**0.5) ** 2 if stop < width else limit
-        keep = partial <= bound
+        keep = partial <= bound + slack
         alive, partial = alive[keep], partial[keep]
         if not len(alive):
             break
@@ -164,21 +166,29 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int = K, id: str = "vec_
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            order = np.argsort(left["id"].to_numpy(), kind="stable")
-            ids, base = left["id"].to_numpy()[order], _matrix(left["v"].combine_chunks(), width)[order]
+            base, same = np.unique(_matrix(left["v"].combine_chunks(), width), axis=0, return_inverse=True)
+            # ids of equal vectors stand together, the smallest first
+            order = np.lexsort((left["id"].to_numpy(), same.ravel()))
+            ids, count = left["id"].to_numpy()[order], np.bincount(same.ravel())
+            start = np.cumsum(count) - count
             turned = shared.value.turned(base, False)
             raw = _matrix(right["v"].combine_chunks(), width)
             asking = shared.value.turned(raw, True)
             # the first block of columns for all queries at once
             head, first = turned[:, :COLUMNS], asking[:, :COLUMNS]
             partial = (head**2).sum(1) + (first**2).sum(1)[:, None] - 2 * first @ head.T
-            for name, q, t, own in zip(right["id"].to_pylist(), raw, asking, partial):
-                own = scan(t, turned, k + 1, own)
-                own = own[ids[own] != name]
+            slacks = SLACK * (shared.value.longest**2 + (raw**2).sum(1))
+            for name, q, t, own, slack in zip(right["id"].to_pylist(), raw, asking, partial, slacks):
+                own = scan(t, turned, k + 1, own, slack)
                 score = (base[own] * q).sum(1)
-                best = np.lexsort((ids[own], -score))[:k]
+                # of equal vectors, none but the k + 1 smallest ids can be among the best
+                n = np.minimum(count[own], k + 1)
+                at = np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                score, found = np.repeat(score, n), ids[at]
+                score, found = score[found != name], found[found != name]
+                best = np.lexsort((found, -score))[:k]
                 out[0].append(np.full(len(best), name))
-                out[1].append(ids[own][best])
+                out[1].append(found[best])
                 out[2].append(score[best])
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(np.concatenate(x) if x else [], kind) for n, x, kind in zip(("query_id", "vec_id", "score"), out, kinds)})

@@ -291,6 +291,25 @@ def test_neighbours_with_ties_and_odd_vectors(spark, monkeypatch):
     assert ties == sorted(ties)
 
 
+def test_all_copies_of_a_unit_vector_are_candidates(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PROBED", 1.0)
+    rng = np.random.default_rng(9)
+    unit = rng.standard_normal((1204, 64))
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    ids = rng.permutation(2104)
+    rows = [(int(i), unit[min(k // 300, 3) if k < 1200 else k - 900].tolist()) for k, i in enumerate(ids)]  # four vectors 300 times
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = [int(i) for k, i in enumerate(ids) if k < 1200 and k % 30 == 0]
+    got = {}
+    for r in neighbours.searched(vectors, vectors.where(F.col("vec_id").isin(asked))).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    places = {int(i): k for k, i in enumerate(ids)}
+    for q in asked:
+        group = places[q] // 300
+        assert got[q] == [i for i in sorted(int(j) for j in ids[group * 300 : group * 300 + 300]) if i != q][:20]
+    assert len(got) == len(asked)
+
+
 def test_few_vectors_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (20, [0.0, 1.0])], kind)
