@@ -1,7 +1,8 @@
 """Licence texts by sentence rules, in SQL functions only.
 
-A text is cut into sentences; each normalised sentence that is a known licence sentence becomes its identifier. The identifiers of a text in
-their order are matched with ordered rules: a rule fits where its identifiers follow one another, also with other sentences between them. A rule that
+A text is cut into sentences; each normalised sentence that is a known licence sentence becomes its identifier. A line may be a sentence, but a
+known one may also go on over single line breaks and semicolons, as in notices wrapped at 70 to 80 columns; a blank line ends it. Of known sentences
+that start at one place the longest counts. The identifiers of a text in their order are matched with ordered rules: a rule fits where its identifiers follow one another, also with other sentences between them. A rule that
 another found rule contains at the same place gives way to it.
 """
 
@@ -31,36 +32,69 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "public-domain": "this is free and unencumbered software released into the public domain",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "mit-grant-whole": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "as-is-whole": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
 }
-#: (rule, licence, identifiers in order).
+#: The first sentence of GNU notices with the versions that end it.
+SENTENCES |= {
+    f"gpl{n}-free-{kind}": f"{SENTENCES['gpl-free']} {version}"
+    for n in (2, 3)
+    for kind, version in (("or-later", f"either version {n} of the license or at your option any later version"), ("only", f"version {n} of the license"))
+}
+#: (rule, licence, identifiers in order, or regular expressions of them).
 RULES = [
     ("gpl3-line", "GPL-3.0", ["gpl3-line"]),
-    ("gpl-header", "GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
+    ("gpl-header", "GPL-3.0-or-later", ["(gpl-free|gpl3-free-or-later)", "gpl-hope"]),
+    ("gpl3-or-later", "GPL-3.0-or-later", ["(gpl3-free-or-later|gpl-free (.* )?gpl3-or-later)"]),
+    ("gpl3-only", "GPL-3.0-only", ["gpl3-free-only"]),
+    ("gpl2-or-later", "GPL-2.0-or-later", ["gpl2-free-or-later"]),
+    ("gpl2-only", "GPL-2.0-only", ["gpl2-free-only"]),
     ("ccbync4-line", "CC-BY-NC-4.0", ["ccbync4-line"]),
     ("ccby4-line", "CC-BY-4.0", ["ccby4-line"]),
     ("ccbysa4-line", "CC-BY-SA-4.0", ["ccbysa4-line"]),
     ("mit-line", "MIT", ["mit-line"]),
-    ("mit-text", "MIT", ["mit-grant", "mit-notice", "as-is"]),
+    ("mit-text", "MIT", ["mit-grant(-whole)?", "mit-notice", "as-is(-whole)?"]),
     ("apache2-line", "Apache-2.0", ["apache2-line"]),
     ("apache2-header", "Apache-2.0", ["apache2-the-license", "apache2-may-not"]),
     ("bsd2-text", "BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("bsd3-text", "BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("bsd4-text", "BSD-4-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"]),
     ("unlicense-line", "Unlicense", ["public-domain"]),
 ]
 #: Found rules that give way to others in the same text.
-INSTEAD = {"bsd2-text": "bsd3-text"}
-#: A sentence ends at a line's end or at a mark with white space behind; the digits of "2.0" stay together.
-ENDS = r"[\n\r]+|[.!?;]+(?:[ \t]+|$)"
+INSTEAD = {"bsd2-text": "bsd3-text", "bsd3-text": "bsd4-text", "gpl3-or-later": "gpl-header"}
+#: What becomes a mark in a normalised text: ends of sentences, semicolons with white space behind, line breaks. The digits of "2.0" stay together.
+MARKS = [(r";+(?![;\s]|$)", " "), (r"[.!?]+(?=\s|$)", " | "), (r";+(?=\s|$)", " ; "), (r"\r\n|\r|\n", " / "), (r"[^a-z0-9|;/]+", " ")]
+#: What may stand between the words of a known sentence: a semicolon, one line break.
+BETWEEN = "(?: ;)?(?: /)? "
+#: The name of a copyright holder in "bsd-endorse"; it may have the mark of "Inc.".
+HOLDER = "(?:[a-z0-9]+(?: [|;])?(?: /)? ){1,12}?"
 #: Words that every known sentence has one of; sentences without are not normalised.
-HINT = "(?i)licens|permission|redistribut|warranty|copyright|public domain|any later version"
+HINT = "(?i)licens|permission|redistribut|warranty|copyright|public[^a-zA-Z0-9]+domain|any later version"
+
+
+def _pattern(id: str) -> str:
+    """A known sentence in a normalised text with marks."""
+    if id == "bsd-endorse":
+        before, after = SENTENCES[id].split(" the copyright holder nor the names of its ")
+        return BETWEEN.join(before.split()) + BETWEEN + HOLDER + BETWEEN.join("nor the names of".split()) + BETWEEN + f"(?:its{BETWEEN})?" + BETWEEN.join(after.split())
+    # the sentence goes on with a version that is none of the known ones
+    unless = f"(?!{BETWEEN}(?:either{BETWEEN})?version )" if id == "gpl-free" else ""
+    return BETWEEN.join(SENTENCES[id].split()) + unless
 
 
 def _identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in SENTENCES.items()) for x in pair])
-    clean = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    sentences = F.filter(F.split(text, ENDS), lambda s: s.rlike(HINT))
-    return F.filter(F.transform(sentences, lambda s: known[clean(s)]), lambda i: i.isNotNull())
+    marked = F.translate(F.lower(text), "|/", "  ")
+    for what, mark in MARKS:
+        marked = F.regexp_replace(marked, what, mark)
+    marked = F.regexp_replace(F.concat(F.lit("| "), marked, F.lit(" |")), " +", " ")
+    longest_first = sorted(SENTENCES, key=lambda i: -len(SENTENCES[i]))
+    found = F.regexp_extract_all(marked, F.lit(f"(?<=[|/;] )(?:{'|'.join(map(_pattern, longest_first))})(?= [|/;])"), F.lit(0))
+    plain = lambda s: F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", " "), "^neither the name of .* nor the names of (?:its )?", "neither the name of the copyright holder nor the names of its ")
+    return F.when(text.rlike(HINT), F.transform(found, lambda s: known[plain(s)])).otherwise(F.array().cast("array<string>"))
 
 
 def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,7 +115,7 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
 
 def oracle(table: str = "documents") -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL for texts whose known sentences stand on one line each, without semicolons."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(i)}, {quoted(s)})" for i, s in SENTENCES.items())
     found = ", ".join(f"regexp_matches(line, {quoted(' ' + ' (.* )?'.join(ids) + ' ')}) AS {quoted(rule).replace(chr(39), chr(34))}" for rule, _, ids in RULES)

@@ -238,3 +238,76 @@ def test_bsd_with_three_clauses_is_not_reported_twice(spark):
     assert {r.doc_id: r.licences for r in licenses.scanned(docs).collect()} == {1: "BSD-2-Clause", 2: "BSD-3-Clause"}
     plan = licenses.scanned(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+MIT = """Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ADVERTISING = """
+3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement:
+   This product includes software developed by the organization.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+HOPE = """
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+"""
+
+
+def test_wrapped_notices(spark):
+    commented = lambda s, mark: "".join(f"{mark} {line}".rstrip() + "\n" for line in s.split("\n"))
+    gpl2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    wanted = {
+        MIT: "MIT", MIT.replace("\n", "\r\n"): "MIT", commented(MIT, " *"): "MIT", "Some words\n" + MIT + BSD: "BSD-2-Clause MIT",
+        BSD: "BSD-2-Clause", BSD + ENDORSE: "BSD-3-Clause", BSD + ADVERTISING + ENDORSE: "BSD-4-Clause",
+        BSD + ENDORSE.replace("the copyright holder", "Some Company Inc."): "BSD-3-Clause", commented(BSD + ENDORSE, "//"): "BSD-3-Clause",
+        GPL: "GPL-3.0-or-later", GPL + HOPE: "GPL-3.0-or-later", commented(GPL + HOPE, "#"): "GPL-3.0-or-later", gpl2 + HOPE: "GPL-2.0-or-later",
+        gpl2.replace("either version 2 of the License, or\n    (at your option) any later version", "version 2 of the License") + HOPE: "GPL-2.0-only",
+        gpl2.replace("version 2", "version 1") + HOPE: "", GPL.replace("GNU General", "GNU Lesser General") + HOPE: "", APACHE: "Apache-2.0",
+        "Released under the\nMIT License.": "MIT", "Released under the\n\nMIT License.": "", "Released under the.\nMIT License": "",
+        "We like it\nReleased under the MIT License\nand more": "MIT", "Released under;the MIT/License": "MIT",
+    }
+    got = {r.doc_id: (r.licences, r.rules) for r in licenses.scanned(frame(spark, list(wanted))).collect()}
+    assert {text: got[k][0] for k, text in enumerate(wanted)} == wanted
+    assert got[0][1] == "mit-text" and got[9][1] == "gpl3-or-later" and got[10][1] == "gpl-header"
