@@ -39,14 +39,28 @@ def graph_or_self(blocks: Column) -> Column:
     )
 
 
-def graph_and_self(blocks: Column, depth: int = 2) -> Column:
-    """Every document and, level by level, the items of its @graph."""
-    level = parsed(blocks)
-    levels = [level]
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, lambda d: _items(d, "$['@graph']")))
-        levels.append(level)
-    return _usable(F.concat(*levels))
+def graph_and_self(blocks: Column, depth: int | None = None) -> Column:
+    """Every document and, level by level, the items of its @graph; to any depth, or ``depth`` levels.
+
+    A list within a list gives its items on the next level. Each level opens a bracket of its own, so a row takes as many steps as its
+    fullest block has brackets.
+    """
+    documents = lambda level: F.filter(level, lambda d: F.try_variant_get(d, F.lit("$"), NO_DOCS).isNull())
+    below = lambda level: F.flatten(F.transform(level, lambda d: F.coalesce(F.try_variant_get(d, F.lit("$"), NO_DOCS), _items(d, "$['@graph']"))))
+    most = F.coalesce(F.array_max(F.transform(blocks, lambda b: F.length(b) - F.length(F.replace(b, F.lit("["), F.lit(""))))), F.lit(0))
+    steps = most if depth is None else F.least(most, F.lit(depth))
+
+    def step(state: Column, _: Column) -> Column:
+        def on(level: Column) -> Column:
+            return F.struct(level.alias("level"), F.concat(state["every"], documents(level)).alias("every"))
+
+        return F.when(F.size(state["level"]) > 0, let(below(state["level"]), on)).otherwise(state)
+
+    def walked(first: Column) -> Column:
+        start = F.struct(first.alias("level"), documents(first).alias("every"))
+        return F.aggregate(F.filter(F.sequence(F.lit(0), steps), lambda i: i > 0), start, step, lambda s: s["every"])
+
+    return _usable(let(parsed(blocks), walked))
 
 
 def text(doc: Column, path: str) -> Column:

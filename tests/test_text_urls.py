@@ -131,3 +131,22 @@ def test_excluded_paths_are_a_parameter():
     hit = lambda p: bool(re.search(excluded_paths(), p))
     assert all(map(hit, ["/diagnose", "/insights/", "/products/x", "/experiments/a/b/"]))
     assert not any(map(hit, ["/products", "/products/", "/diagnoses", "/about/products/x"]))
+
+
+def test_graphs_are_read_to_any_depth(spark):
+    import json
+
+    from tellback.functions import jsonld as J
+
+    doc = {"@type": "FAQPage", "name": "level 6"}
+    for k in range(5, -1, -1):
+        doc = {"@type": f"T{k}", "name": f"level {k}", "@graph": [doc] if k % 2 else [[doc], None]}
+    rows = [(1, [json.dumps(doc), '{"name": "other"}']), (2, []), (3, None), (4, ["no json [", "[]", '[[{"name": "listed"}]]']), (5, ['{"@graph": {"name": "no list"}, "name": "self"}'])]
+    docs = spark.createDataFrame(rows, "id int, blocks array<string>")
+    names = lambda depth: {r.id: r.n for r in docs.select("id", F.transform(J.graph_and_self(F.col("blocks"), depth), lambda d: J.text(d, "$['name']")).alias("n")).collect()}
+    got = names(None)
+    assert got[1] == ["level 0", "other"] + [f"level {k}" for k in range(1, 7)]
+    assert not got[2] and not got[3] and got[4] == ["listed"] and got[5] == ["self"]
+    assert names(0)[1] == ["level 0", "other"]
+    found = docs.where("id = 1").select(J.signals(F.col("blocks"), ["name"]).alias("s")).first().s
+    assert "FAQPage" in found["types"] and "T5" in found["types"]
