@@ -253,8 +253,30 @@ def _heading_rows(pages: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.select(key, "is_main", F.struct("place", "pos").alias("at"), "h.*")
 
 
+def _distinct_headings(pages: DataFrame, key: str) -> DataFrame:
+    """A row per site, kind (0 for h1, 1 for h2) and heading, with its first place."""
+    return _heading_rows(pages, key, "h1_texts", "h2_texts").groupBy(key, "kind", "heading").agg(F.min("at").alias("at"))
+
+
+def _numbered(distinct: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """Headings of a site and kind numbered by place."""
+    by_place = Window.partitionBy(key, "kind").orderBy("at", "heading")
+    rows = distinct.withColumn("n", F.row_number().over(by_place))
+    return rows if limit is None else rows.filter(F.col("n") <= limit)
+
+
+def site_headings(pages: DataFrame, key: str = "host", limit: int | None = None) -> DataFrame:
+    """All distinct headings of a site over all pages of ``site_pages``: ``kind`` (h1 or h2), number by place, heading.
+
+    These are rows; no site has a list of them. ``limit`` keeps the first ones of each kind.
+    """
+    rows = _numbered(_distinct_headings(pages, key), key, limit)
+    return rows.select(key, F.when(F.col("kind") == 0, "h1").otherwise("h2").alias("kind"), "n", "heading")
+
+
 def site_signal_merge(pages: DataFrame, key: str = "host", headings: int = 10) -> DataFrame:
-    """Sums, ORs and heading counts over all pages of ``site_pages``, with the first ``headings`` headings of each level.
+    """Sums, ORs and heading counts over all pages of ``site_pages``, with the first ``headings`` headings of each level;
+    ``site_headings`` has all of them.
 
     Sizes add up over the pages, each with its label, so no site's text is put together.
     """
@@ -269,10 +291,9 @@ def site_signal_merge(pages: DataFrame, key: str = "host", headings: int = 10) -
         F.bool_or("has_og").alias("has_og"),
         (F.sum(F.col("text_ratio") * F.col("chars")) / F.greatest(F.sum("chars"), F.lit(1))).alias("text_ratio"),
     )
-    distinct = _heading_rows(pages, key, "h1_texts", "h2_texts").groupBy(key, "kind", "heading").agg(F.min("at").alias("at"))
+    distinct = _distinct_headings(pages, key)
     counts = distinct.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("h1_count"), F.count_if(F.col("kind") == 1).alias("h2_count"))
-    by_place = Window.partitionBy(key, "kind").orderBy("at", "heading")
-    first = distinct.withColumn("n", F.row_number().over(by_place)).filter(F.col("n") <= headings)
+    first = _numbered(distinct, key, headings)
     listed = lambda k: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("n", "heading")))), lambda x: x["heading"]
     )

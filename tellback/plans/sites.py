@@ -322,6 +322,17 @@ def site_signal_merge(spark, sf_dir):
     )
 
 
+@query(
+    "site_headings",
+    ["fv_rich"],
+    """SELECT host, 'h1' AS kind, generate_subscripts(h1_u, 1) AS n, unnest(h1_u) AS heading FROM mheads
+  UNION ALL SELECT host, 'h2', generate_subscripts(h2_u, 1), unnest(h2_u) FROM mheads""",
+    BUNDLE_CTES[:-1],
+)
+def site_headings(spark, sf_dir):
+    return S.site_headings(bundle(spark, sf_dir))
+
+
 @query("new_headings", ["fv_rich"], "SELECT host, rank, heading FROM fresh", BUNDLE_CTES)
 def new_headings(spark, sf_dir):
     return S.new_headings(bundle(spark, sf_dir))

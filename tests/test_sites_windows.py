@@ -181,3 +181,12 @@ def test_quota_of_a_hot_key_in_small_arrow_batches(spark, tmp_path):
             assert decided(spark.read.parquet(f"{tmp_path}/o{late}")) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_all_headings_of_a_site_are_rows(spark):
+    rows = [(k, "a.example", f"https://a.example/p{k}", True, ["Top"], [f"Head {j}" for j in range(25)] + [f"Own {k}"]) for k in range(50)]
+    pages = S.site_pages(spark.createDataFrame(rows, "page_id long, host string, url string, usable boolean, h1_texts array<string>, h2_texts array<string>").repartition(4))
+    got = sorted((r.host, r.kind, r.n, r.heading) for r in S.site_headings(pages).collect())
+    assert got[0] == ("a.example", "h1", 1, "Top") and [(r[1], r[2]) for r in got[1:]] == [("h2", n) for n in range(1, 76)]
+    assert [r[3] for r in got[1:26]] == [f"Head {j}" for j in range(25)] and {r[3] for r in got[26:]} == {f"Own {k}" for k in range(50)}
+    assert S.site_headings(pages, limit=3).count() == 4
