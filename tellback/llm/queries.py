@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellback.llm import decontaminate, html_text, language_id, licenses, neighbours, ngram_join, packing, quality, token_files, url_filter
+from tellback.llm import decontaminate, html_text, language_id, licenses, manifest, neighbours, ngram_join, packing, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.searched(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+ORACLES["op13_merkle_manifest"] = manifest.oracle()
+
+
+@register
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_manifest(table(spark, sf_dir, "documents"))
