@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellback.llm import decontaminate, html_text, language_id, licenses, manifest, neighbours, ngram_join, packing, quality, token_files, url_filter
+from tellback.llm import decontaminate, html_text, language_id, licenses, manifest, near_vectors, neighbours, ngram_join, packing, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,11 @@ ORACLES["op13_merkle_manifest"] = manifest.oracle()
 @register
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_embedding_near_dedup"] = near_vectors.oracle()
+
+
+@register
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
