@@ -106,7 +106,7 @@ def test_pairs_at_the_threshold_meet(width, parts):
     apart = np.bitwise_count((V.sketches(a) ^ V.sketches(b)).view(np.uint64)).sum(1)
     assert apart.max() <= V.most_signs(0.9)
     others = np.bitwise_count((V.sketches(a) ^ V.sketches(a[::-1])).view(np.uint64)).sum(1)
-    assert np.mean(others <= V.most_signs(0.9)) < 0.02
+    assert np.mean(others <= V.most_signs(0.9)) < 0.1
 
 
 def test_hadamard_keeps_lengths():
