@@ -386,6 +386,25 @@ def quota_windows_stream(spark, sf_dir):
     return spark.read.parquet(f"{out}/table").drop("version")
 
 
+@query(
+    "freshness_reuse_stream",
+    [],
+    "SELECT key, event_id, nth > 1 AS hit FROM win",
+    window_ctes("CAST(user_id AS VARCHAR) || ':' || event_type", 3 * DAY),
+)
+def freshness_reuse_stream(spark, sf_dir):
+    """The same reuse by the stream with keyed state: requests arrive in three files in time order, and the stream starts anew after each."""
+    asked = requests(spark, sf_dir, per_type=True)
+    cuts = asked.agg(F.percentile("ms", F.array(F.lit(0.4), F.lit(0.7))).alias("at")).first()["at"] or [0, 0]
+    out = K.shared_folder(spark, "reuse")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = asked if low is None else asked.where(F.col("ms") > low)
+        (part if high is None else part.where(F.col("ms") <= high)).write.mode("append").parquet(f"{out}/requests")
+        stream = J.file_stream(spark, f"{out}/requests", asked.schema, "parquet", files_per_batch=1_000)
+        J.keep_table(Q.freshness_stream(stream, 3 * DAY, "event_id"), f"{out}/table", f"{out}/checkpoint", idle_batches=False).awaitTermination()
+    return spark.read.parquet(f"{out}/table").drop("version")
+
+
 def arrived(spark, sf_dir):
     """Latest log per URL, kept by a stream over a folder of log files that arrive in several batches."""
     out = K.shared_folder(spark, "latest")

@@ -21,23 +21,30 @@ def latest_log_stream(logs: DataFrame) -> DataFrame:
     return latest_log(logs)
 
 
-def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def keep_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", idle_batches: bool = True) -> StreamingQuery:
     """Write the result rows of each batch as a numbered version.
 
     A version folder is written whole before the next batch, so a lost executor
-    or a restart rewrites the same folder and changes nothing else.
+    or a restart rewrites the same folder and changes nothing else. Without ``idle_batches`` there are batches for new rows only: state that leaves by
+    the clock would else ask for one more batch again and again, and a run over what is there would not end.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, before if idle_batches else "false")  # a query keeps the settings it starts with
+    try:
+        return (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(name, before)
 
 
 def keep_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -21,7 +21,7 @@ SAMPLE = [
     "delivery_eval_text", "subpage_reach", "feature_impact", "blockage_catalog", "stratified_selection", "category_walk",
     "best_step", "stage_texts", "site_signal_merge", "new_headings", "latest_log_per_url", "log_stream_latest", "log_stream_stats",
     "sink_site_logs", "sitemap_stats", "fact_check", "delivery_comparison", "source_profile", "answer_summary", "query_plan", "payload_citations", "review_queue",
-    "lead_cleanse", "redact_logs", "quota_windows", "quota_windows_stream", "freshness_reuse", "incremental_ingest",
+    "lead_cleanse", "redact_logs", "quota_windows", "quota_windows_stream", "freshness_reuse", "freshness_reuse_stream", "incremental_ingest",
     "sink_batch_snapshots", "decode_charset",
 ]
 
