@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     live = util.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     found = None
     while True:
-        parents = live.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        parents = util.stored(live.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "parents")
         while True:
             parents = util.stored(_jumped(parents), "parents")
             if not parents.where("moved").limit(1).count():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellback.llm import decontaminate, html_text, language_id, licenses, manifest, near_vectors, neighbours, ngram_join, packing, quality, token_files, url_filter
+from tellback.llm import decontaminate, html_text, language_id, licenses, manifest, near_vectors, neighbours, ngram_join, packing, phrases, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +92,14 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.searched(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+ORACLES["op12_phrase_collocations"] = phrases.oracle()
+
+
+@register
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op13_merkle_manifest"] = manifest.oracle()
 
 
