@@ -16,7 +16,7 @@ seventh of both sizes together (at a similarity of 0.75), and so leaves cells un
   link allows; their blocks are compared on the whole sets, each pair of blocks in a task that yields only links between different
   groups.
 * Bit sketches (one bit per shingle, XORed) give a lower bound of the symmetric difference and discard most false pairs; the
-  rest is verified on the whole sets. Groups come from rounds of star contraction on Spark tables.
+  rest is verified on the whole sets. Groups come from ``groups.components``.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellback.llm import util
+from tellback.llm.groups import components
 
 SHINGLE = 5
 #: A link: PART * intersection >= WHOLE_PART * union, here 0.75.
@@ -295,23 +296,6 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return _checked(pairs, contents, ["set"], lambda x, y: linked(np.frombuffer(x[0], np.uint64), np.frombuffer(y[0], np.uint64)))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its group) of all nodes but the roots, by large- and small-star steps."""
-    now = util.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars")
-    state = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        now = util.stored(small, "stars")
-        after = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
-        if state == after:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = after
-
-
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs whose nodes are in different groups so far."""
     for side in ("a", "b"):
@@ -329,7 +313,9 @@ def _in_blocks(members: DataFrame, groups: DataFrame, contents: DataFrame) -> Da
         busy = rooted.groupBy("node").agg(F.sum(small).alias("small"), F.sum(1 - small).alias("large")).where((F.col("small") > SPARE_SMALL) | (F.col("large") > SPARE))
         rooted = util.stored(rooted.join(busy.select("node"), "node", "left_semi"), "open")
     # cells that share nodes make one cluster, so that no pair is looked at twice
-    cluster = components(rooted.select(F.col("node").alias("a"), F.xxhash64("key", F.lit("cell")).alias("b"))).select("node", F.col("root").alias("cluster"))
+    # all nodes of a cell are linked to its smallest one, which is the same in most cells of a group
+    first = util.stored(rooted.groupBy("key").agg(F.min("node").alias("a")), "first")
+    cluster = components(rooted.join(first, "key").select("a", F.col("node").alias("b")).where("a != b").distinct()).select("node", F.col("root").alias("cluster"))
     nodes = rooted.select("node", "root").distinct().join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     nodes = nodes.join(contents.select("node", "n"), "node")
     sizes = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
