@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tellback import dims
 from tellback.operators.pages import keeps_title
+from tellback.operators.walks import reached
+from tellback.sources.numbering import numbered
 
 ENGINES = ["gpt", "gemini", "perplexity"]
 
@@ -390,39 +392,25 @@ def stratified_selection(candidates: DataFrame, plan: list[tuple] | None = None,
 
 
 def category_walk(
-    edges: DataFrame, seeds: DataFrame, max_depth: int = 2, fan_out: int | None = None, per_seed: int | None = None
+    edges: DataFrame, seeds: DataFrame, max_depth: int | None = 2, fan_out: int | None = None, per_seed: int | None = None
 ) -> DataFrame:
-    """Distinct pages below seed categories: (parent, child, kind) edges, down to ``max_depth``.
+    """Distinct pages below seed categories: (parent, child, kind) edges, down to ``max_depth``, or as far as they go (None).
 
-    ``fan_out`` and ``per_seed`` keep the first sub-categories and pages when given. A bounded loop of equi joins; every step drops categories already reached.
+    ``fan_out`` and ``per_seed`` keep the first sub-categories and pages when given.
     """
     subs = edges.filter("kind = 'category'").select("parent", "child")
     if fan_out is not None:
-        w = Window.partitionBy("parent").orderBy("child")
-        subs = subs.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= fan_out).drop("n")
-    level = seeds.select("seed", F.col("seed").alias("category"), F.lit(0).alias("depth"))
-    reached = level
-    for depth in range(1, max_depth + 1):
-        step = (
-            level.join(subs, F.col("category") == F.col("parent"))
-            .select("seed", F.col("child").alias("category"))
-            .distinct()
-            .join(reached.select("seed", "category"), ["seed", "category"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        reached = reached.unionByName(step)
-        level = step
+        subs = numbered(subs, ["parent"], F.col("child"), limit=fan_out).drop("n")
+    below = reached(subs, seeds, max_depth).withColumnRenamed("node", "category")
     pages = edges.filter("kind = 'page'").select(F.col("parent").alias("category"), F.col("child").alias("title"))
     found = (
-        reached.join(pages, "category")
+        below.join(pages, "category")
         .filter(keeps_title(F.col("title")))
         .groupBy("seed", "title")
         .agg(F.min("depth").alias("depth"))
         .withColumn("stable_rank", F.substring(F.sha1("title"), 1, 12))
     )
-    top = Window.partitionBy("seed").orderBy("stable_rank", "title")
-    ranked = found.withColumn("rank", F.row_number().over(top))
-    return ranked if per_seed is None else ranked.filter(F.col("rank") <= per_seed)
+    return numbered(found, ["seed"], F.col("stable_rank"), F.col("title"), name="rank", limit=per_seed)
 
 
 def rehydrate(stored: DataFrame, recomputed: DataFrame, version: str) -> DataFrame:

@@ -12,6 +12,9 @@ from tellback.functions import jsonld as J
 from tellback.functions import text as T
 from tellback.functions import urls as U
 from tellback.operators import pages as P
+from tellback.operators.walks import reached
+from tellback.sources.numbering import numbered
+from tellback.sources.sinks import store
 
 ROOT_PATHS = ["/", "/*"]
 
@@ -111,26 +114,34 @@ def _locs(body: Column) -> Column:
 
 
 def pick_sitemap(files: DataFrame, declared: DataFrame, key: str = "host") -> DataFrame:
-    """The first available candidate per site: robots-declared ones, then /sitemap.xml."""
+    """The first available candidate per site: robots-declared ones, then /sitemap.xml. ``files`` has (site, sitemap_url), and the body if it is a table of bodies."""
+    own = ["sitemap_url", *(["body"] if "body" in files.columns else [])]
     last = F.struct(F.lit(1).alias("default"), F.lit(0).cast("long").alias("pos"))  # behind all that are declared
     default = files.select(
         key, last.alias("order"), F.concat(F.lit("https://"), F.col(key), F.lit("/sitemap.xml")).alias("sitemap_url")
     ).dropDuplicates([key])
     first = F.struct(F.lit(0).alias("default"), F.col("pos").cast("long").alias("pos"))
     candidates = declared.select(key, first.alias("order"), "sitemap_url").unionByName(default)
-    found = files.select(key, "sitemap_url", "body").join(candidates, [key, "sitemap_url"])
-    return found.groupBy(key).agg(F.min_by(F.struct("sitemap_url", "body"), "order").alias("pick")).select(key, "pick.*")
+    found = files.select(key, *own).join(candidates, [key, "sitemap_url"])
+    return found.groupBy(key).agg(F.min_by(F.struct(*own), "order").alias("pick")).select(key, "pick.*")
 
 
-def sitemap_stats(picked: DataFrame) -> DataFrame:
-    body = F.col("body")
-    out = picked.withColumns(
-        {
-            "url_count": F.regexp_count(body, F.lit(f"(?i)<url{T.NO_WORD_AFTER}")).cast("bigint"),
-            "sitemap_count": F.regexp_count(body, F.lit(f"(?i)<sitemap{T.NO_WORD_AFTER}")).cast("bigint"),
-            "loc_count": F.size(_locs(body)).cast("bigint"),
-        }
-    )
+def sitemap_stats(picked: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Elements and entries of each picked sitemap, from its body or from the rows of ``sources.sitemaps``."""
+    if entries is None:
+        body = F.col("body")
+        out = picked.withColumns(
+            {
+                "url_count": F.regexp_count(body, F.lit(f"(?i)<url{T.NO_WORD_AFTER}")).cast("bigint"),
+                "sitemap_count": F.regexp_count(body, F.lit(f"(?i)<sitemap{T.NO_WORD_AFTER}")).cast("bigint"),
+                "loc_count": F.size(_locs(body)).cast("bigint"),
+            }
+        )
+    else:
+        counts = entries.groupBy("sitemap_url").agg(
+            F.sum("url_tags").alias("url_count"), F.sum("sitemap_tags").alias("sitemap_count"), F.count("loc").alias("loc_count")
+        )
+        out = picked.join(counts, "sitemap_url", "left").fillna(0, ["url_count", "sitemap_count", "loc_count"])
     return out.withColumns(
         {
             "sitemap_exists": F.greatest("url_count", "sitemap_count", "loc_count") > 0,
@@ -141,9 +152,21 @@ def sitemap_stats(picked: DataFrame) -> DataFrame:
     )
 
 
+def sitemap_locs(entries: DataFrame, picked: DataFrame, key: str = "host") -> DataFrame:
+    """(site, loc): the pages that a site's picked sitemap lists, in itself and in all sitemaps that it leads to over indexes of any depth."""
+    links = entries.filter("kind = 'sitemap' and loc is not null").select(F.col("sitemap_url").alias("parent"), F.col("loc").alias("child"))
+    maps = reached(links, picked.select(F.col("sitemap_url").alias("seed")))
+    listed = entries.filter("kind is distinct from 'sitemap' and loc is not null").select(F.col("sitemap_url").alias("node"), "loc")
+    roots = picked.select(key, F.col("sitemap_url").alias("seed"))
+    return roots.join(maps.select("seed", "node"), "seed").join(listed, "node").select(key, "loc")
+
+
 def sitemap_membership(pages: DataFrame, picked: DataFrame, key: str = "host") -> DataFrame:
-    """Is the page, or its path, listed in the site's sitemap? Equi joins on (site, URL) and (site, path)."""
-    locs = picked.select(key, F.explode(_locs(F.col("body"))).alias("loc"))
+    """Is the page, or its path, listed in the site's sitemap? Equi joins on (site, URL) and (site, path).
+
+    ``picked`` has a body per site or, from ``sitemap_locs``, a row per entry.
+    """
+    locs = picked.select(key, F.explode(_locs(F.col("body"))).alias("loc")) if "body" in picked.columns else picked.select(key, "loc")
     locs = locs.select(
         key, U.comparable_url(F.col("loc")).alias("cmp_url"), T.let(U.trimmed_path(F.col("loc")), lambda p: F.when(p == "", "/").otherwise(p)).alias("cmp_path")
     )
@@ -168,10 +191,12 @@ def sitemap_membership(pages: DataFrame, picked: DataFrame, key: str = "host") -
     )
 
 
-def discovery_summary(sites: DataFrame, robots: DataFrame, llms: DataFrame, sitemaps: DataFrame, key: str = "host") -> DataFrame:
-    """Crawler access, llms.txt and sitemap facts on one row per site."""
+def discovery_summary(
+    sites: DataFrame, robots: DataFrame, llms: DataFrame, sitemaps: DataFrame, key: str = "host", entries: DataFrame | None = None
+) -> DataFrame:
+    """Crawler access, llms.txt and sitemap facts on one row per site. Sitemaps are a table of bodies, or (site, sitemap_url) with their ``entries``."""
     bots = bot_summary(bot_access(sites.select(key), robots_rules(robots, key), key), key)
-    maps = sitemap_stats(pick_sitemap(sitemaps, robots_sitemaps(robots, key), key))
+    maps = sitemap_stats(pick_sitemap(sitemaps, robots_sitemaps(robots, key), key), entries)
     return (
         bots.join(llms_txt(llms, key), key, "left")
         .join(maps.select(key, "sitemap_exists", "sitemap_format", "url_count"), key, "left")
@@ -258,25 +283,18 @@ def _distinct_headings(pages: DataFrame, key: str) -> DataFrame:
     return _heading_rows(pages, key, "h1_texts", "h2_texts").groupBy(key, "kind", "heading").agg(F.min("at").alias("at"))
 
 
-def _numbered(distinct: DataFrame, key: str, limit: int | None) -> DataFrame:
-    """Headings of a site and kind numbered by place."""
-    by_place = Window.partitionBy(key, "kind").orderBy("at", "heading")
-    rows = distinct.withColumn("n", F.row_number().over(by_place))
-    return rows if limit is None else rows.filter(F.col("n") <= limit)
-
-
 def site_headings(pages: DataFrame, key: str = "host", limit: int | None = None) -> DataFrame:
     """All distinct headings of a site over all pages of ``site_pages``: ``kind`` (h1 or h2), number by place, heading.
 
-    These are rows; no site has a list of them. ``limit`` keeps the first ones of each kind.
+    These are rows; no site has a list of them, and no task numbers a whole site. ``limit`` keeps the first ones of each kind.
     """
-    rows = _numbered(_distinct_headings(pages, key), key, limit)
+    rows = numbered(_distinct_headings(pages, key), [key, "kind"], F.col("at"), F.col("heading"), limit=limit)
     return rows.select(key, F.when(F.col("kind") == 0, "h1").otherwise("h2").alias("kind"), "n", "heading")
 
 
-def site_signal_merge(pages: DataFrame, key: str = "host", headings: int = 10) -> DataFrame:
-    """Sums, ORs and heading counts over all pages of ``site_pages``, with the first ``headings`` headings of each level;
-    ``site_headings`` has all of them.
+def site_signal_merge(pages: DataFrame, key: str = "host", headings: int | None = None) -> DataFrame:
+    """Sums, ORs and heading counts over all pages of ``site_pages``. The headings themselves are the rows of ``site_headings``; a given number of
+    ``headings`` adds lists of the first ones of each level.
 
     Sizes add up over the pages, each with its label, so no site's text is put together.
     """
@@ -291,17 +309,18 @@ def site_signal_merge(pages: DataFrame, key: str = "host", headings: int = 10) -
         F.bool_or("has_og").alias("has_og"),
         (F.sum(F.col("text_ratio") * F.col("chars")) / F.greatest(F.sum("chars"), F.lit(1))).alias("text_ratio"),
     )
-    distinct = _distinct_headings(pages, key)
+    distinct = _distinct_headings(pages, key) if headings is None else store(_distinct_headings(pages, key), "headings")
     counts = distinct.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("h1_count"), F.count_if(F.col("kind") == 1).alias("h2_count"))
-    first = _numbered(distinct, key, headings)
+    out = merged.join(counts, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("h1_count", "h2_count")})
+    if headings is None:
+        return P.crawl_confidence(out)
+    first = numbered(distinct, [key, "kind"], F.col("at"), F.col("heading"), limit=headings)
     listed = lambda k: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("n", "heading")))), lambda x: x["heading"]
     )
     lists = first.groupBy(key).agg(listed(0).alias("h1_texts"), listed(1).alias("h2_texts"))
-    out = merged.join(counts, key, "left").join(lists, key, "left")
     none = F.array().cast("array<string>")
-    filled = {c: F.coalesce(c, F.lit(0)) for c in ("h1_count", "h2_count")} | {c: F.coalesce(c, none) for c in ("h1_texts", "h2_texts")}
-    return P.crawl_confidence(out.withColumns(filled))
+    return P.crawl_confidence(out.join(lists, key, "left").withColumns({c: F.coalesce(c, none) for c in ("h1_texts", "h2_texts")}))
 
 
 def _fresh(pages: DataFrame, key: str) -> DataFrame:
@@ -338,10 +357,8 @@ def site_gap(pages: DataFrame, key: str = "host") -> DataFrame:
 
 def new_headings(pages: DataFrame, key: str = "host", limit: int | None = None) -> DataFrame:
     """Headings of extra pages that the main page lacks, first seen first, up to ``limit`` per site when given."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("at", "heading"))
-    ranked = _fresh(pages, key).withColumn("rank", rank)
-    ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
-    return ranked.select(key, F.col("rank").cast("bigint").alias("rank"), "heading")
+    ranked = numbered(_fresh(pages, key), [key], F.col("at"), F.col("heading"), name="rank", limit=limit)
+    return ranked.select(key, "rank", "heading")
 
 
 # Words that mark a sentence as saying what a site offers.
@@ -373,11 +390,9 @@ def promoted_snippets(
     main = pages.filter("is_main").select(key, F.lower("content").alias("main_text"))
     fresh = said.join(main, key).filter(~F.contains(F.col("main_text"), F.lower("sentence"))).drop("main_text")
     by_page = Window.partitionBy(key, "page_id").orderBy("pos")
-    by_site = Window.partitionBy(key).orderBy("place", "pos")
     if per_page is not None:
         fresh = fresh.withColumn("n", F.row_number().over(by_page)).filter(F.col("n") <= per_page)
-    ranked = fresh.withColumn("rank", F.row_number().over(by_site))
-    ranked = ranked if per_site is None else ranked.filter(F.col("rank") <= per_site)
+    ranked = numbered(fresh, [key], F.col("place"), F.col("pos"), name="rank", limit=per_site)
     return ranked.select(key, "rank", U.path(F.col("url")).alias("source_path"), "sentence")
 
 

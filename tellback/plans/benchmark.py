@@ -428,6 +428,34 @@ def category_walk(spark, sf_dir):
     return A.category_walk(view(spark, sf_dir, "fv_edges"), seeds).select("seed", "title", "depth", "rank")
 
 
+_view(
+    "fv_ring",
+    ["fv_edges"],
+    """
+SELECT parent, child, kind FROM fv_edges WHERE kind = 'page'
+UNION ALL SELECT r.r_name, n.n_name, 'category' FROM region r JOIN nation n ON n.n_nationkey = r.r_regionkey * 4
+UNION ALL SELECT a.n_name, b.n_name, 'category' FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 23 OR b.n_nationkey = (a.n_nationkey * 5) % 19
+UNION ALL SELECT n.n_name, r.r_name, 'category' FROM nation n JOIN region r ON r.r_regionkey = n.n_nationkey % 3 WHERE n.n_nationkey > 17
+""",
+)
+
+
+@query(
+    "category_walk_any_depth",
+    ["fv_ring"],
+    f"""SELECT seed, title, depth, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY substr(sha1(title), 1, 12), title) AS rank FROM (
+   SELECT w.seed, e.child AS title, CAST(min(w.depth) AS BIGINT) AS depth FROM walk w JOIN fv_ring e ON e.parent = w.category AND e.kind = 'page' WHERE {PP.KEEPS.replace('title', 'e.child')} GROUP BY ALL) t) u""",
+    [
+        # no path to a category is longer than there are categories
+        "walk AS (SELECT r_name AS seed, r_name AS category, 0 AS depth FROM region UNION SELECT w.seed, e.child, w.depth + 1 FROM walk w JOIN (SELECT * FROM fv_ring WHERE kind = 'category') e ON e.parent = w.category WHERE w.depth < 31)"
+    ],
+)
+def category_walk_any_depth(spark, sf_dir):
+    """The walk over categories that lead back to each other, to its end."""
+    seeds = table(spark, sf_dir, "region").select(F.col("r_name").alias("seed"))
+    return A.category_walk(view(spark, sf_dir, "fv_ring"), seeds, max_depth=None).select("seed", "title", "depth", "rank")
+
+
 @query(
     "log_result_rehydrate",
     ["fv_truth"],

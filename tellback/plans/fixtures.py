@@ -168,19 +168,29 @@ SELECT host, CASE host_no % 3 WHEN 0 THEN '# ' || host || ' guide for readers' W
 )
 
 _view(
-    "fv_sitemap",
+    "fv_maps",
     ["fv_hosts"],
     """
-SELECT h.host, 'https://' || h.host || s.tail AS sitemap_url, s.pos, h.host_no % 2 + 1 AS need,
-  CASE WHEN h.host_no % 5 = 4 AND s.pos = 1 THEN '<html>no map</html>'
-       WHEN h.host_no % 3 = 2 THEN '<sitemapindex><sitemap><loc> https://' || h.host || '/a.xml </loc></sitemap><sitemap><loc>https://' || h.host || '/b.xml</loc></sitemap></sitemapindex>'
-       ELSE '<?xml version="1.0"?><urlset>' || coalesce(u.locs, '') || '</urlset>' END AS body
-FROM fv_hosts h
-JOIN (SELECT host, max(CASE WHEN page_id = first_id THEN loc ELSE '' END) || max(CASE WHEN page_id = last_id THEN loc ELSE '' END) AS locs FROM (
-   SELECT page_id, min(page_id) OVER (PARTITION BY host) AS first_id, max(page_id) OVER (PARTITION BY host) AS last_id, host,
-     '<url><loc>' || CASE page_id % 3 WHEN 0 THEN replace(url, '&', '&amp;') WHEN 1 THEN split_part(url, '?', 1) || '/' ELSE 'https://else.example.com/z' END || '</loc></url>' AS loc
-   FROM (SELECT page_id, url, split_part(split_part(url, '#', 1), '/', 3) AS host FROM pages) q) p GROUP BY host) u ON u.host = h.host
-CROSS JOIN (VALUES ('/maps/site.xml', 1), ('/sitemap.xml', 2)) AS s(tail, pos)
+SELECT h.host, 'https://' || h.host || s.tail AS sitemap_url, CASE WHEN h.host_no % 5 = 4 AND s.pos = 1 THEN 'none' WHEN h.host_no % 3 = 2 THEN 'index' ELSE 'urls' END AS form, -1 AS part
+FROM fv_hosts h CROSS JOIN (VALUES ('/maps/site.xml', 1), ('/sitemap.xml', 2)) AS s(tail, pos)
+UNION ALL SELECT h.host, 'https://' || h.host || s.tail, s.form, s.part
+FROM fv_hosts h CROSS JOIN (VALUES ('/inner.xml', 'inner', -1), ('/map-0.xml', 'part', 0), ('/map-1.xml', 'part', 1), ('/map-2.xml', 'part', 2), ('/map-3.xml', 'part', 3)) AS s(tail, form, part)
+WHERE h.host_no % 3 = 2
+""",
+)
+
+_view(
+    "fv_sitemap_lines",
+    ["fv_maps"],
+    """
+SELECT sitemap_url, part, CASE form WHEN 'none' THEN '<html>no map</html>' WHEN 'index' THEN '<sitemapindex>' WHEN 'inner' THEN '<sitemapindex>' ELSE '<?xml version="1.0"?><urlset>' END AS line FROM fv_maps
+UNION ALL SELECT m.sitemap_url, m.part, '<sitemap><loc> https://' || m.host || e.tail || ' </loc></sitemap>'
+FROM fv_maps m CROSS JOIN (VALUES ('index', '/a.xml'), ('index', '/inner.xml'), ('index', '/map-0.xml'), ('index', '/map-2.xml'), ('inner', '/map-1.xml'), ('inner', '/map-3.xml'), ('inner', '/sitemap.xml')) AS e(holder, tail)
+WHERE m.form = e.holder
+UNION ALL SELECT m.sitemap_url, m.part, '<url><loc>' || p.loc || '</loc></url>'
+FROM fv_maps m JOIN (
+   SELECT page_id, host, CASE page_id % 3 WHEN 0 THEN replace(url, '&', '&amp;') WHEN 1 THEN split_part(url, '?', 1) || '/' ELSE 'https://else.example.com/z' END AS loc
+   FROM (SELECT page_id, url, split_part(split_part(url, '#', 1), '/', 3) AS host FROM pages) q) p ON p.host = m.host AND (m.form = 'urls' OR m.form = 'part' AND m.part = p.page_id % 4)
 """,
 )
 

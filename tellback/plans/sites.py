@@ -13,6 +13,8 @@ from tellback.plans import osql as O
 from tellback.plans import pages as PP
 from tellback.plans.fixtures import view
 from tellback.plans.registry import query
+from tellback.sources import sinks as K
+from tellback.sources import sitemaps as SM
 
 # --- robots -------------------------------------------------------------------
 _LINES = f"""SELECT host, g, pos, lower(trim(split_part(line, ':', 1))) AS field, {O.strip(O.sub('line', '^[^:]*:'))} AS value
@@ -59,29 +61,42 @@ def llms_txt(spark, sf_dir):
 
 
 # --- sitemaps -------------------------------------------------------------------
-_LOCS = f"list_transform({O.every('body', '(?is)<loc>' + chr(92) + 's*(.*?)' + chr(92) + 's*</loc>', 1)}, lambda x: {O.strip(O.decode_basic('x'))})"
 MAP_CTES = [
     """declared AS MATERIALIZED (SELECT host, u AS sitemap_url, pos FROM (SELECT host, pos, CASE WHEN value LIKE '/%' THEN 'https://' || host || value ELSE value END AS u FROM rl WHERE field = 'sitemap' AND value <> '') t)""",
-    """picked AS MATERIALIZED (SELECT f.host, arg_min(f.sitemap_url, (c.d, c.pos)) AS sitemap_url, arg_min(f.body, (c.d, c.pos)) AS body FROM fv_sitemap f JOIN (
-   SELECT host, sitemap_url, 0 AS d, pos FROM declared UNION ALL SELECT DISTINCT host, 'https://' || host || '/sitemap.xml', 1, 0 FROM fv_sitemap) c ON c.host = f.host AND c.sitemap_url = f.sitemap_url GROUP BY f.host)""",
-    f"""mapstats AS MATERIALIZED (SELECT host, sitemap_url, body, url_count, sitemap_count, loc_count, url_count + sitemap_count + loc_count > 0 AS sitemap_exists,
+    """picked AS MATERIALIZED (SELECT f.host, arg_min(f.sitemap_url, (c.d, c.pos)) AS sitemap_url FROM fv_maps f JOIN (
+   SELECT host, sitemap_url, 0 AS d, pos FROM declared UNION ALL SELECT DISTINCT host, 'https://' || host || '/sitemap.xml', 1, 0 FROM fv_maps) c ON c.host = f.host AND c.sitemap_url = f.sitemap_url GROUP BY f.host)""",
+    "map_lines AS MATERIALIZED (SELECT * FROM fv_sitemap_lines)",
+    """mapstats AS MATERIALIZED (SELECT host, sitemap_url, url_count, sitemap_count, loc_count, url_count + sitemap_count + loc_count > 0 AS sitemap_exists,
    CASE WHEN sitemap_count > 0 THEN 'index' WHEN url_count > 0 THEN 'urlset' ELSE 'unknown' END AS sitemap_format FROM (
-   SELECT *, len({O.every('body', '(?i)<url' + chr(92) + 'b')}) AS url_count, len({O.every('body', '(?i)<sitemap' + chr(92) + 'b')}) AS sitemap_count, len({_LOCS}) AS loc_count FROM picked) t)""",
+   SELECT p.host, p.sitemap_url, count(*) FILTER (l.line LIKE '<url>%') AS url_count, count(*) FILTER (l.line LIKE '<sitemap>%') AS sitemap_count, count(*) FILTER (l.line LIKE '%<loc>%') AS loc_count
+   FROM picked p JOIN map_lines l ON l.sitemap_url = p.sitemap_url GROUP BY p.host, p.sitemap_url) t)""",
+]
+_ENTRY = f"{O.strip(O.decode_basic('regexp_extract(l.line, ' + chr(39) + '<loc>(.*)</loc>' + chr(39) + ', 1)'))}"
+LOC_CTES = [
+    f"leads AS (SELECT host, sitemap_url FROM picked UNION SELECT r.host, {_ENTRY} FROM leads r JOIN map_lines l ON l.sitemap_url = r.sitemap_url AND l.line LIKE '<sitemap>%')",
+    f"locs AS MATERIALIZED (SELECT r.host, {_ENTRY} AS loc FROM leads r JOIN map_lines l ON l.sitemap_url = r.sitemap_url AND l.line LIKE '<url>%')",
 ]
 
 
-def picked(spark, sf_dir):
-    return S.pick_sitemap(view(spark, sf_dir, "fv_sitemap"), S.robots_sitemaps(view(spark, sf_dir, "fv_robots")))
+def sitemaps(spark, sf_dir):
+    """Sites with their sitemaps, the entries of the files, and what is picked. Two of four partial maps are gzipped."""
+    out = K.shared_folder(spark, "sitemaps")
+    lines = view(spark, sf_dir, "fv_sitemap_lines")
+    SM.write_sitemaps(lines.filter("part < 2"), out)
+    SM.write_sitemaps(lines.filter("part >= 2"), out, zipped=True)
+    files = view(spark, sf_dir, "fv_maps").select("host", "sitemap_url")
+    return files, SM.sitemap_entries(spark, out), S.pick_sitemap(files, S.robots_sitemaps(view(spark, sf_dir, "fv_robots")))
 
 
 @query(
     "sitemap_stats",
-    ["fv_robots", "fv_sitemap"],
+    ["fv_robots", "fv_sitemap_lines"],
     "SELECT host, sitemap_url, sitemap_exists, sitemap_format, url_count, sitemap_count, loc_count FROM mapstats",
     ROBOT_CTES + MAP_CTES,
 )
 def sitemap_stats(spark, sf_dir):
-    return S.sitemap_stats(picked(spark, sf_dir)).select(
+    _, entries, picked = sitemaps(spark, sf_dir)
+    return S.sitemap_stats(picked, entries).select(
         "host", "sitemap_url", "sitemap_exists", "sitemap_format", "url_count", "sitemap_count", "loc_count"
     )
 
@@ -91,32 +106,42 @@ _CMP_PATH = lambda x: f"(CASE WHEN {O.trimmed_path(x)} = '' THEN '/' ELSE {O.tri
 
 @query(
     "sitemap_membership",
-    ["fv_robots", "fv_sitemap", "fv_rich"],
+    ["fv_robots", "fv_sitemap_lines", "fv_rich"],
     f"""SELECT p.page_id, bool_or(coalesce({O.comparable_url('l.loc')} = {O.comparable_url('p.url')}, false)) AS lists_url,
    bool_or(coalesce({_CMP_PATH('l.loc')} = {_CMP_PATH('p.url')}, false)) AS lists_path
- FROM fv_rich p LEFT JOIN (SELECT host, unnest({_LOCS}) AS loc FROM picked) l ON l.host = p.host GROUP BY p.page_id""",
-    ROBOT_CTES + MAP_CTES,
+ FROM fv_rich p LEFT JOIN locs l ON l.host = p.host GROUP BY p.page_id""",
+    ROBOT_CTES + MAP_CTES + LOC_CTES,
 )
 def sitemap_membership(spark, sf_dir):
     pages = view(spark, sf_dir, "fv_rich").select("page_id", "url", "host")
-    return S.sitemap_membership(pages, picked(spark, sf_dir)).select("page_id", "lists_url", "lists_path")
+    _, entries, picked = sitemaps(spark, sf_dir)
+    return S.sitemap_membership(pages, S.sitemap_locs(entries, picked)).select("page_id", "lists_url", "lists_path")
+
+
+@query(
+    "sitemap_locs",
+    ["fv_robots", "fv_sitemap_lines"],
+    "SELECT host, loc, count(*) AS times FROM locs GROUP BY host, loc",
+    ROBOT_CTES + MAP_CTES + LOC_CTES,
+)
+def sitemap_locs(spark, sf_dir):
+    """All pages that a site's sitemap lists, over indexes that lead to indexes and back."""
+    _, entries, picked = sitemaps(spark, sf_dir)
+    return S.sitemap_locs(entries, picked).groupBy("host", "loc").agg(F.count("*").alias("times"))
 
 
 @query(
     "discovery_summary",
-    ["fv_hosts", "fv_robots", "fv_sitemap", "fv_llms"],
+    ["fv_hosts", "fv_robots", "fv_sitemap_lines", "fv_llms"],
     f"""SELECT b.host, bots_allowed, bots_denied, bots_unknown, coalesce(length({O.strip('l.body')}) >= 20, false) AS llms_exists, coalesce(length(l.body), 0) AS llms_chars,
   coalesce(m.sitemap_exists, false) AS sitemap_exists, coalesce(m.sitemap_format, 'unknown') AS sitemap_format, coalesce(m.url_count, 0) AS sitemap_urls
  FROM botsum b LEFT JOIN fv_llms l ON l.host = b.host LEFT JOIN mapstats m ON m.host = b.host""",
     ACCESS_CTES + MAP_CTES,
 )
 def discovery_summary(spark, sf_dir):
-    return S.discovery_summary(
-        view(spark, sf_dir, "fv_hosts"),
-        view(spark, sf_dir, "fv_robots"),
-        view(spark, sf_dir, "fv_llms"),
-        view(spark, sf_dir, "fv_sitemap"),
-    )
+    files, entries, _ = sitemaps(spark, sf_dir)
+    hosts, robots, llms = (view(spark, sf_dir, f"fv_{name}") for name in ("hosts", "robots", "llms"))
+    return S.discovery_summary(hosts, robots, llms, files, entries=entries)
 
 
 # --- JSON-LD ---------------------------------------------------------------------
@@ -312,13 +337,13 @@ def candidate_pages_topk(spark, sf_dir):
 @query(
     "site_signal_merge",
     ["fv_rich"],
-    f"""SELECT host, page_count, title, list_items, tables, images, images_without_alt, has_jsonld, has_og, len(h1_u) AS h1_count, len(h2_u) AS h2_count, {O.joined('h1_u[1:10]')} AS h1_texts, {O.joined('h2_u[1:10]')} AS h2_texts, words, length(content) AS chars FROM mheads""",
+    """SELECT host, page_count, title, list_items, tables, images, images_without_alt, has_jsonld, has_og, len(h1_u) AS h1_count, len(h2_u) AS h2_count, words, length(content) AS chars FROM mheads""",
     BUNDLE_CTES[:-1],
 )
 def site_signal_merge(spark, sf_dir):
     return S.site_signal_merge(bundle(spark, sf_dir)).select(
         "host", "page_count", "title", "list_items", "tables", "images", "images_without_alt", "has_jsonld", "has_og",
-        "h1_count", "h2_count", "h1_texts", "h2_texts", "words", "chars",
+        "h1_count", "h2_count", "words", "chars",
     )
 
 

@@ -137,7 +137,9 @@ def test_every_page_of_a_site_counts(spark):
     columns = "page_id long, host string, url string, usable boolean, title string, list_items long, tables long, images long, images_without_alt long, has_jsonld boolean, has_og boolean, h1_texts array<string>, h2_texts array<string>, content string"
     pages = S.site_pages(spark.createDataFrame(rows, columns).repartition(4))
     merged = S.site_signal_merge(pages).first()
-    assert (merged.page_count, merged.list_items, merged.h1_count, merged.h2_count) == (50, 50, 1, 75) and len(merged.h2_texts) == 10
+    assert (merged.page_count, merged.list_items, merged.h1_count, merged.h2_count) == (50, 50, 1, 75) and "h2_texts" not in merged
+    first = S.site_signal_merge(pages, headings=10).first()
+    assert first.h1_texts == ["Top"] and first.h2_texts == [f"Head {j}" for j in range(10)] and first.h2_count == 75
     gap = S.site_gap(pages).first()
     assert (gap.extra_pages, gap.new_heading_count, gap.added_jsonld) == (49, 49, True)
     assert S.new_headings(pages).count() == 49 and S.new_headings(pages, limit=8).count() == 8
