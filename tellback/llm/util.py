@@ -99,7 +99,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64 and their inverses, at least ``n`` of them."""
     have = _powers.get("up")
     if have is None or len(have) < n:
@@ -132,7 +132,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table=SPACED) -> tuple[np
         stop[:-1] &= ~inside[1:]
         stop[cuts - 1] = inside[cuts - 1]
     ends = np.flatnonzero(stop) + 1
-    up, down = _power_table(n + 1)
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(lower[data].astype(np.uint64) * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * _ODD)
