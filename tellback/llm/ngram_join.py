@@ -385,6 +385,8 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         groups = components(more().union(groups.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     roots = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("size")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("size").alias("rows")).where("rows > 1")
+    nodes = util.stored(nodes, "nodes")
+    # stored, so that the join below shuffles both sides for itself and a large group can be split
+    lowest = util.stored(nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("size").alias("rows")).where("rows > 1"), "lowest")
     named = nodes.join(lowest, "root").select("node", "component_id")
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -64,6 +64,36 @@ def test_large_cells_lose_no_link(spark, monkeypatch, few, block):
     assert len({c for _, c in want.values()}) < len(texts) - 10
 
 
+def test_two_thousand_near_copies_of_one_text(spark):
+    """Most pairs differ by more than a link allows; the group still comes out whole, and others beside it."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(110)]
+    texts = []
+    for k in range(2000):
+        words = base[:]
+        for _ in range(rnd.randint(1, 3) if k % 50 else 12):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [util.shingle_sets(pa.array([t]), 5)[0] for t in texts]
+    every, place = util.np.unique(util.np.concatenate(sets), return_inverse=True)
+    member = util.np.zeros((len(sets), len(every)), util.np.float32)
+    sizes = util.np.array([len(s) for s in sets])
+    member[util.np.repeat(util.np.arange(len(sets)), sizes), place.ravel()] = 1
+    both = member @ member.T
+    near = 100 * both >= 75 * (sizes[:, None] + sizes - both)
+    low = util.np.arange(len(sets))
+    while True:
+        now = util.np.array([low[row].min() for row in near])
+        now = now[now]
+        if (now == low).all():
+            break
+        low = now
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs).collect()}
+    assert got == {k: (int(sizes[k]), int(low[k])) for k in range(len(texts))}
+    assert near.mean() < 0.8 and 1 < len(set(low.tolist())) < 60
+
+
 def test_sketches_bound_the_difference():
     rnd = random.Random(1)
     for _ in range(50):
