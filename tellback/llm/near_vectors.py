@@ -319,7 +319,7 @@ def near_duplicates(vectors: DataFrame, similar: float = SIMILAR, id: str = "vec
 
     rooted = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     members = util.stored(rooted.join(nodes.select("node", "weight", "low"), "node"), "members")
-    lowest = members.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = util.stored(members.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     links = _counted(members.select(F.col("root").alias("cluster"), "node", "root", "weight"), nodes, similar)
     judged = members.join(lowest, "root").join(links, "node").select("node", "links", "component_id")
     found = nodes.select("node", "h1", "h2", "weight", "low").join(judged, "node", "left")
