@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tellback import dims
 from tellback.functions import text as T
 from tellback.functions import urls as U
+from tellback.operators.patterns import held_phrases
 from tellback.operators.texts import phrase_hints, sentences_with
 
 _EMPTY = "array<string>"
@@ -105,32 +106,48 @@ def verification_hints(hinted: DataFrame) -> DataFrame:
 
 
 def hint_matches(df: DataFrame, text: str = "text") -> DataFrame:
-    """Which of the site's own hints an answer repeats."""
+    """Which of the site's own hints an answer repeats; phrases and service words one by one, unless ``held_hints`` has found them."""
     said, low = F.col(text), F.lower(F.col(text))
     inside = lambda c: F.filter(c, lambda h: F.contains(low, F.lower(h)))
+    known = {f"matched_{c}": inside(f"known_{c}") for c in ("phrases", "services") if f"matched_{c}" not in df.columns}
     return df.withColumns(
-        {
+        known
+        | {
             "matched_years": F.array_intersect(T.years(said), F.col("known_years")),
             "matched_emails": F.array_intersect(T.emails(said), F.col("known_emails")),
             "matched_hosts": F.array_intersect(U.mentioned_hosts(said), F.col("known_hosts")),
-            "matched_phrases": inside("known_phrases"),
-            "matched_services": inside("known_services"),
             "founding_claim": said.rlike("(?i)(설립|창립|founded)"),
             "contact_claim": said.rlike("(?i)(문의|연락|contact|email|e-mail)"),
         }
     )
 
 
+#: Columns of ``held_hints`` and the lists of an entity that they come from.
+HINTS = {
+    "matched_phrases": "known_phrases", "matched_services": "known_services",
+    "held_strong": "strong_hints", "held_exact": "exact_signals", "held_service": "service_hints",
+}
+
+
+def held_hints(answers: DataFrame, entities: DataFrame, key: str = "entity_id", text: str = "text") -> DataFrame:
+    """Answers with all hints of their entity that they hold, by one automaton per entity: a pass over the answer, however many hints there are.
+
+    For entities with long lists of hints; ``hint_matches`` and ``recognition_context`` take what it found.
+    """
+    return held_phrases(answers, entities.select(key, *HINTS.values()), key, text, HINTS)
+
+
 def recognition_context(df: DataFrame, text: str = "text") -> DataFrame:
     low = F.lower(F.col(text))
     df = df.withColumn("low_text", low)
     t = F.col("low_text")
     uncertain = T.contains_any(t, dims.UNKNOWN_SIGNALS)
+    any_of = lambda held, hints: F.when(t.isNotNull(), F.size(held) > 0) if held in df.columns else T.any_contains(t, F.col(hints))
     return df.withColumns(
         {
-            "strong_match": T.any_contains(t, F.col("strong_hints")),
-            "exact_match": T.any_contains(t, F.col("exact_signals")),
-            "service_match": T.any_contains(t, F.col("service_hints")),
+            "strong_match": any_of("held_strong", "strong_hints"),
+            "exact_match": any_of("held_exact", "exact_signals"),
+            "service_match": any_of("held_service", "service_hints"),
             "uncertain": uncertain,
             "specific_claims": (F.length(t) >= 120) & T.contains_any(t, dims.CLAIM_WORDS),
         }

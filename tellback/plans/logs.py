@@ -9,9 +9,11 @@ from tellback.functions import text as T
 from tellback.operators import leads as L
 from tellback.operators import payloads as Y
 from tellback.operators import review as V
+from tellback.operators import sites as S
 from tellback.plans import benchmark as PB
 from tellback.plans import osql as O
 from tellback.plans import pages as PP
+from tellback.plans import sites as PS
 from tellback.plans.fixtures import _view, table, view
 from tellback.plans.registry import query
 from tellback.sources import charset as CH
@@ -226,26 +228,30 @@ def delivery_comparison(spark, sf_dir):
     return V.delivery_comparison(newest(spark, sf_dir), ["chatgpt", "gemini", "perplexity"], [f"/en/{n}" for n in range(100, 500)], [f"/de/{n}" for n in range(1, 100)])
 
 
-REPORT_CTES = LOG_CTES + [
-    """lint AS (SELECT url, page_id % 3 AS fail_count, page_id % 2 AS warn_count, CASE WHEN page_id % 4 = 0 THEN 0 ELSE page_id % 9 END AS declared_facts FROM pages WHERE page_id % 5 <> 0)""",
-    """rp AS MATERIALIZED (SELECT a.*, coalesce(l.fail_count, 0) AS f, coalesce(l.warn_count, 0) AS w, coalesce(l.declared_facts, 0) AS declared_facts FROM (SELECT url, count(*) AS engines_checked, CAST(count_if(citation_level = 'exact') AS BIGINT) AS cited_exact, CAST(count_if(citation_level = 'path') AS BIGINT) AS cited_path, CAST(count_if(citation_level = 'host_only') AS BIGINT) AS cited_host_only, CAST(count_if(citation_level = 'none') AS BIGINT) AS cited_none,
-     coalesce(string_agg(CASE WHEN len(d) + len(m) > 0 AND len(d)::DOUBLE / (len(d) + len(m)) < 0.8 THEN engine END, ' | ' ORDER BY engine), '') AS weak_engines FROM lm GROUP BY url) a LEFT JOIN lint l USING (url))""",
+REPORT_CTES = LOG_CTES + PS.LINT_CTES + [
+    """lints AS MATERIALIZED (SELECT url, max(fail_count) AS fail_count, max(warn_count) AS warn_count, max(declared_facts) AS declared_facts FROM (
+     SELECT l.url, count(*) FILTER (c.status = 'fail') AS fail_count, count(*) FILTER (c.status = 'warn') AS warn_count, any_value(l.fact_labels) AS declared_facts
+     FROM li l JOIN lint c USING (page_id) GROUP BY l.page_id, l.url) t GROUP BY url)""",
+    """rp AS MATERIALIZED (SELECT a.*, CAST(coalesce(l.fail_count, 0) AS BIGINT) AS f, CAST(coalesce(l.warn_count, 0) AS BIGINT) AS w, CAST(coalesce(l.declared_facts, 0) AS BIGINT) AS declared_facts FROM (SELECT url, count(*) AS engines_checked, CAST(count_if(citation_level = 'exact') AS BIGINT) AS cited_exact, CAST(count_if(citation_level = 'path') AS BIGINT) AS cited_path, CAST(count_if(citation_level = 'host_only') AS BIGINT) AS cited_host_only, CAST(count_if(citation_level = 'none') AS BIGINT) AS cited_none,
+     coalesce(string_agg(CASE WHEN len(d) + len(m) > 0 AND len(d)::DOUBLE / (len(d) + len(m)) < 0.8 THEN engine END, ' | ' ORDER BY engine), '') AS weak_engines FROM lm GROUP BY url) a LEFT JOIN lints l USING (url))""",
     """rpt AS MATERIALIZED (SELECT url, engines_checked, cited_exact, cited_path, cited_host_only, cited_none, weak_engines, declared_facts, CASE WHEN f > 0 THEN f || ' blockers' WHEN w > 0 THEN w || ' warnings' ELSE 'ready' END AS structure,
     CASE WHEN len(na) > 0 THEN na ELSE ['keep_stable'] END AS na FROM (SELECT *, list_filter([CASE WHEN declared_facts = 0 THEN 'declare_facts' END, CASE WHEN f > 0 OR w > 0 THEN 'fix_structure' END, CASE WHEN weak_engines <> '' THEN 'improve_consistency' END, CASE WHEN cited_exact = 0 THEN 'strengthen_citation' END], lambda x: x IS NOT NULL) AS na FROM rp) t)""",
 ]
 
 
 def report(spark, sf_dir):
-    p = F.col("page_id")
-    pages = table(spark, sf_dir, "pages").filter(p % 5 != 0)
-    lint = pages.select("url", (p % 3).alias("fail_count"), (p % 2).alias("warn_count"))
-    facts = pages.select("url", F.when(p % 4 == 0, 0).otherwise(p % 9).alias("declared_facts"))
-    return V.official_source_report(newest(spark, sf_dir), lint, facts)
+    """Newest logs with the lint of the pages they are about."""
+    inputs, bots = PS.lint_parts(spark, sf_dir)
+    inputs = K.store(inputs, "lint-inputs")
+    urls = inputs.select("page_id", "url", F.col("fact_labels").alias("declared_facts"))
+    lint = S.lint_summary(S.page_lint(inputs, bots)).join(urls, "page_id")
+    lint = lint.groupBy("url").agg(*[F.max(c).alias(c) for c in ("fail_count", "warn_count", "declared_facts")])  # pages of one URL
+    return V.official_source_report(newest(spark, sf_dir), lint, lint.select("url", "declared_facts"))
 
 
 @query(
     "official_source_report",
-    ["fv_log_answers"],
+    ["fv_log_answers", "fv_rich", "fv_robots"],
     f"SELECT url, engines_checked, cited_exact, cited_path, cited_host_only, cited_none, weak_engines, declared_facts, structure, {O.joined('na')} AS next_actions FROM rpt",
     REPORT_CTES,
 )
@@ -408,9 +414,13 @@ def freshness_reuse_stream(spark, sf_dir):
 def arrived(spark, sf_dir):
     """Latest log per URL, kept by a stream over a folder of log files that arrive in several batches."""
     out = K.shared_folder(spark, "latest")
-    logs(spark, sf_dir).select("url", "file_name", "engines").repartition(6).write.json(f"{out}/logs")
-    stream = J.file_stream(spark, f"{out}/logs", f"{ST.LOG_SCHEMA}, file_name string", files_per_batch=2)
-    J.keep_latest(J.latest_log_stream(stream), f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    every = logs(spark, sf_dir).select("url", "file_name", "engines")
+    early = F.pmod(F.xxhash64("url", "file_name"), F.lit(3)) > 0
+    for part in (every.where(early), every.where(~early)):  # what comes after a compaction is read on top of it
+        J.compact(spark, f"{out}/table", "url")
+        part.repartition(4).write.mode("append").json(f"{out}/logs")
+        stream = J.file_stream(spark, f"{out}/logs", f"{ST.LOG_SCHEMA}, file_name string", files_per_batch=2)
+        J.keep_latest(J.latest_log_stream(stream), f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return J.latest_rows(spark, f"{out}/table", "url")
 
 
@@ -512,7 +522,7 @@ def sink_site_logs(spark, sf_dir):
 
 @query(
     "sink_text_report",
-    ["fv_log_answers"],
+    ["fv_log_answers", "fv_rich", "fv_robots"],
     "SELECT line, count(*) AS lines FROM (SELECT unnest(['Official source report', 'Target: ' || url, 'Declared facts: ' || declared_facts, 'Structure: ' || structure, 'Exact citations: ' || cited_exact || '/' || engines_checked, 'Next actions: ' || array_to_string(na, ', ')]) AS line FROM rpt) t GROUP BY line",
     REPORT_CTES,
 )

@@ -334,6 +334,20 @@ def recognition_context(spark, sf_dir):
     )
 
 
+@query(
+    "held_hints",
+    ["fv_entities", "fv_answers"],
+    f"SELECT entity_id, engine, {O.joined('m_phr')} AS phrases, {O.joined('m_srv')} AS services, strong_match, exact_match, service_match FROM ri",
+    RECOG_CTES[:-1],
+)
+def held_hints(spark, sf_dir):
+    """The hints of ``hint_containment`` and ``recognition_context`` by one automaton per entity."""
+    sites = hinted(spark, sf_dir)
+    df = R.held_hints(view(spark, sf_dir, "fv_answers"), sites).join(sites, "entity_id")
+    df = R.recognition_context(R.hint_matches(df))
+    return df.select("entity_id", "engine", F.col("matched_phrases").alias("phrases"), F.col("matched_services").alias("services"), "strong_match", "exact_match", "service_match")
+
+
 @query(
     "fact_check",
     ["fv_entities", "fv_answers"],

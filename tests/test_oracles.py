@@ -20,7 +20,7 @@ SAMPLE = [
     "promoted_snippets", "facts_block", "ground_truth", "ground_truth_infobox", "delivery_eval_extracted",
     "delivery_eval_text", "subpage_reach", "feature_impact", "blockage_catalog", "stratified_selection", "category_walk", "category_walk_any_depth",
     "best_step", "stage_texts", "site_signal_merge", "site_headings", "new_headings", "latest_log_per_url", "log_stream_latest", "log_stream_stats",
-    "sink_site_logs", "sitemap_stats", "fact_check", "delivery_comparison", "source_profile", "answer_summary", "query_plan", "payload_citations", "review_queue",
+    "sink_site_logs", "sitemap_stats", "sitemap_locs", "held_hints", "fact_check", "delivery_comparison", "source_profile", "answer_summary", "query_plan", "payload_citations", "review_queue",
     "lead_cleanse", "redact_logs", "quota_windows", "quota_windows_stream", "freshness_reuse", "freshness_reuse_stream", "incremental_ingest",
     "sink_batch_snapshots", "decode_charset",
 ]
