@@ -81,11 +81,12 @@ LOC_CTES = [
 def sitemaps(spark, sf_dir):
     """Sites with their sitemaps, the entries of the files, and what is picked. Two of four partial maps are gzipped."""
     out = K.shared_folder(spark, "sitemaps")
-    lines = view(spark, sf_dir, "fv_sitemap_lines")
+    lines = K.store(view(spark, sf_dir, "fv_sitemap_lines"), "lines")
     SM.write_sitemaps(lines.filter("part < 2"), out)
     SM.write_sitemaps(lines.filter("part >= 2"), out, zipped=True)
     files = view(spark, sf_dir, "fv_maps").select("host", "sitemap_url")
-    return files, SM.sitemap_entries(spark, out), S.pick_sitemap(files, S.robots_sitemaps(view(spark, sf_dir, "fv_robots")))
+    entries = K.store(SM.sitemap_entries(spark, out), "entries")
+    return files, entries, S.pick_sitemap(files, S.robots_sitemaps(view(spark, sf_dir, "fv_robots")))
 
 
 @query(
