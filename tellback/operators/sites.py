@@ -258,9 +258,10 @@ def bundle_roles(usable: DataFrame, extras: int | None = None, key: str = "host"
 def site_pages(usable: DataFrame, key: str = "host") -> DataFrame:
     """Every site's main page (lowest id) and all its other usable pages, with ``is_main`` and a sortable ``place``.
 
-    The main ids come from a second read of ids and hosts alone.
+    The main ids come from a second read of ids and hosts alone; they are stored, so that the join with them can be split for a site of many pages, or needs no
+    shuffle where they are few.
     """
-    main = usable.groupBy(key).agg(F.min("page_id").alias("_main"))
+    main = store(usable.groupBy(key).agg(F.min("page_id").alias("_main")), "main")
     placed = usable.join(main, key).withColumn("is_main", F.col("page_id") == F.col("_main"))
     score = T.let(F.lower(U.path(F.col("url"))), P.path_score)
     place = F.struct((~F.col("is_main")).alias("extra"), (-score).alias("score"), F.col("page_id").alias("id"))
