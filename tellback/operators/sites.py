@@ -293,9 +293,9 @@ def site_headings(pages: DataFrame, key: str = "host", limit: int | None = None)
     return rows.select(key, F.when(F.col("kind") == 0, "h1").otherwise("h2").alias("kind"), "n", "heading")
 
 
-def site_signal_merge(pages: DataFrame, key: str = "host", headings: int | None = None) -> DataFrame:
-    """Sums, ORs and heading counts over all pages of ``site_pages``. The headings themselves are the rows of ``site_headings``; a given number of
-    ``headings`` adds lists of the first ones of each level.
+def site_signal_merge(pages: DataFrame, key: str = "host", headings: int | None = None, lists: bool = False) -> DataFrame:
+    """Sums, ORs and heading counts over all pages of ``site_pages``. The headings themselves are the rows of ``site_headings``; ``lists`` adds lists of all of
+    each level (a site's distinct headings are one row then), and a given number of ``headings`` adds lists of the first ones.
 
     Sizes add up over the pages, each with its label, so no site's text is put together.
     """
@@ -310,18 +310,21 @@ def site_signal_merge(pages: DataFrame, key: str = "host", headings: int | None
         F.bool_or("has_og").alias("has_og"),
         (F.sum(F.col("text_ratio") * F.col("chars")) / F.greatest(F.sum("chars"), F.lit(1))).alias("text_ratio"),
     )
-    distinct = _distinct_headings(pages, key) if headings is None else store(_distinct_headings(pages, key), "headings")
+    listing = lists or headings is not None
+    distinct = store(_distinct_headings(pages, key), "headings") if listing else _distinct_headings(pages, key)
     counts = distinct.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("h1_count"), F.count_if(F.col("kind") == 1).alias("h2_count"))
     out = merged.join(counts, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("h1_count", "h2_count")})
-    if headings is None:
+    if not listing:
         return P.crawl_confidence(out)
-    first = numbered(distinct, [key, "kind"], F.col("at"), F.col("heading"), limit=headings)
+    # the order of all is their place; only for the first ones do they have to be numbered
+    first = distinct if headings is None else numbered(distinct, [key, "kind"], F.col("at"), F.col("heading"), limit=headings)
+    order = "at" if headings is None else "n"
     listed = lambda k: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("n", "heading")))), lambda x: x["heading"]
+        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct(order, "heading")))), lambda x: x["heading"]
     )
-    lists = first.groupBy(key).agg(listed(0).alias("h1_texts"), listed(1).alias("h2_texts"))
+    found = first.groupBy(key).agg(listed(0).alias("h1_texts"), listed(1).alias("h2_texts"))
     none = F.array().cast("array<string>")
-    return P.crawl_confidence(out.join(lists, key, "left").withColumns({c: F.coalesce(c, none) for c in ("h1_texts", "h2_texts")}))
+    return P.crawl_confidence(out.join(found, key, "left").withColumns({c: F.coalesce(c, none) for c in ("h1_texts", "h2_texts")}))
 
 
 def _fresh(pages: DataFrame, key: str) -> DataFrame:

@@ -338,13 +338,13 @@ def candidate_pages_topk(spark, sf_dir):
 @query(
     "site_signal_merge",
     ["fv_rich"],
-    """SELECT host, page_count, title, list_items, tables, images, images_without_alt, has_jsonld, has_og, len(h1_u) AS h1_count, len(h2_u) AS h2_count, words, length(content) AS chars FROM mheads""",
+    f"""SELECT host, page_count, title, list_items, tables, images, images_without_alt, has_jsonld, has_og, len(h1_u) AS h1_count, len(h2_u) AS h2_count, {O.joined('h1_u')} AS h1_texts, {O.joined('h2_u')} AS h2_texts, words, length(content) AS chars FROM mheads""",
     BUNDLE_CTES[:-1],
 )
 def site_signal_merge(spark, sf_dir):
-    return S.site_signal_merge(bundle(spark, sf_dir)).select(
+    return S.site_signal_merge(bundle(spark, sf_dir), lists=True).select(
         "host", "page_count", "title", "list_items", "tables", "images", "images_without_alt", "has_jsonld", "has_og",
-        "h1_count", "h2_count", "words", "chars",
+        "h1_count", "h2_count", "h1_texts", "h2_texts", "words", "chars",
     )
 
 

@@ -192,3 +192,20 @@ def test_all_headings_of_a_site_are_rows(spark):
     assert got[0] == ("a.example", "h1", 1, "Top") and [(r[1], r[2]) for r in got[1:]] == [("h2", n) for n in range(1, 76)]
     assert [r[3] for r in got[1:26]] == [f"Head {j}" for j in range(25)] and {r[3] for r in got[26:]} == {f"Own {k}" for k in range(50)}
     assert S.site_headings(pages, limit=3).count() == 4
+
+
+def test_merged_sites_list_all_headings(spark):
+    from tellback.plans import catalog
+
+    rows = [
+        (k, "a.example" if k < 40 else "b.example", f"https://a.example/p{k}", True, "t", 1, 0, 0, 0, False, False, ["Top"], [f"Head {j}" for j in range(25)] + [f"Own {k}"] if k < 40 else [], "words")
+        for k in range(41)
+    ]
+    columns = "page_id long, host string, url string, usable boolean, title string, list_items long, tables long, images long, images_without_alt long, has_jsonld boolean, has_og boolean, h1_texts array<string>, h2_texts array<string>, content string"
+    pages = S.site_pages(spark.createDataFrame(rows, columns).repartition(4))
+    got = {r.host: r for r in S.site_signal_merge(pages, lists=True).collect()}
+    by_place = {(r.kind, r.n): r.heading for r in S.site_headings(pages).filter("host = 'a.example'").collect()}
+    assert got["a.example"].h1_texts == ["Top"] and got["a.example"].h2_texts == [by_place["h2", n] for n in range(1, 66)]
+    assert (got["b.example"].h1_texts, got["b.example"].h2_texts, got["b.example"].h2_count) == (["Top"], [], 0)
+    # the query has them whole, and so has its SQL
+    assert "h1_u[" not in catalog.ORACLES["site_signal_merge"] and "AS h2_texts, words" in catalog.ORACLES["site_signal_merge"]
