@@ -308,10 +308,11 @@ def _in_blocks(members: DataFrame, groups: DataFrame, contents: DataFrame) -> Da
     rooted = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     for _ in range(3):  # each time fewer nodes make more cells be done
         open_cells = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        rooted = rooted.join(open_cells.select("key"), "key", "left_semi")
-        small = F.col("key").bitwiseAND(F.lit(1))
-        busy = rooted.groupBy("node").agg(F.sum(small).alias("small"), F.sum(1 - small).alias("large")).where((F.col("small") > SPARE_SMALL) | (F.col("large") > SPARE))
-        rooted = util.stored(rooted.join(busy.select("node"), "node", "left_semi"), "open")
+        # a node's cells, which its text bounds, are gathered in one row: whether it has more than the spare ones then takes no join
+        held = rooted.join(open_cells.select("key"), "key", "left_semi").groupBy("node", "root").agg(F.collect_list("key").alias("keys"))
+        small = F.size(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 1))
+        busy = held.where((small > SPARE_SMALL) | (F.size("keys") - small > SPARE))
+        rooted = util.stored(busy.select(F.explode("keys").alias("key"), "node", "root"), "open")
     # cells that share nodes make one cluster, so that no pair is looked at twice
     # all nodes of a cell are linked to its smallest one, which is the same in most cells of a group
     first = util.stored(rooted.groupBy("key").agg(F.min("node").alias("a")), "first")
