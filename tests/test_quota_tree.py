@@ -167,3 +167,30 @@ def test_reuse_state_leaves_by_its_time_to_live(spark, tmp_path):
         time.sleep(2.5)
     assert sum(seen) == 50  # the first fifty keys have gone, no timer was set
     assert spark.read.parquet(f"{tmp_path}/table").count() == 100
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_streams_of_many_keys_share_state_calls(spark, tmp_path, monkeypatch, groups):
+    """The keys of a group are read and written together; their lists are written anew when they have grown."""
+    monkeypatch.setattr(Q, "GROUPS", groups)
+    monkeypatch.setattr(Q, "SPARE_RECORDS", 2)
+    rows, schema = [*reuse_rows(), (None, 20_000, 5_000), (None, 20_001, 5_500), (None, 20_002, 39_000)], "key string, event_id long, ms long"
+    rows = sorted(((k, i, m + 10_000) for k, i, m in rows), key=lambda r: (r[2], r[1]))
+    cut = len(rows) // 5 + 1
+    named = spark.createDataFrame([(k or "null", i, m) for k, i, m in rows], schema)
+    reused = {r.event_id: (r.key.replace("null", "") or None, r.hit) for r in Q.freshness_reuse(named, 1_000, "event_id").collect()}
+    quotas = {r.event_id: (r.key.replace("null", "") or None, r.request_no, r.allowed, r.remaining, r.reset_seconds) for r in Q.quota_windows(named, 1_000, 2, "event_id").collect()}
+    for k in range(5):
+        spark.createDataFrame(rows[k * cut : (k + 1) * cut], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05)
+    stream = lambda: J.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, "parquet", files_per_batch=1)
+    made = {"reuse": Q.freshness_stream(stream(), 1_000, "event_id", kept_ms=10**9), "quota": Q.quota_stream(stream(), 1_000, 2, "event_id"), "late": Q.quota_stream(stream(), 1_000, 2, "event_id", "1 second")}
+    for name, df in made.items():
+        query = J.keep_table(df, f"{tmp_path}/{name}", f"{tmp_path}/c-{name}", idle_batches=name == "late")
+        query.awaitTermination(90)
+        kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        assert kept and max(kept) < 200
+    assert {r.event_id: (r.key, r.hit) for r in spark.read.parquet(f"{tmp_path}/reuse").collect()} == reused
+    for name in ("quota", "late"):
+        got = {r.event_id: (r.key, r.request_no, r.allowed, r.remaining, r.reset_seconds) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+        assert got == quotas, name
