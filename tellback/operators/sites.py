@@ -471,6 +471,8 @@ def lint_inputs(signals: DataFrame) -> DataFrame:
     return out.withColumn("fact_labels", F.size(facts_labels(F.col("content"))).cast("bigint"))
 
 
+#: Columns of ``lint_inputs`` that ``page_lint`` reads beside the page's id, URL and site.
+LINT_COLUMNS = ["title", "description", "page_source", "defines_entity", "fact_labels", "ld", "helpful_links", "allows_indexing", "faq_heading", "faq_lines", "faq_jsonld"]
 CHECKS = ["entity-definition", "facts-source-structure", "static-rendering", "subpage-registry", "indexability", "faq-structure"]
 
 

@@ -242,7 +242,8 @@ REPORT_CTES = LOG_CTES + PS.LINT_CTES + [
 def report(spark, sf_dir):
     """Newest logs with the lint of the pages they are about."""
     inputs, bots = PS.lint_parts(spark, sf_dir)
-    inputs = K.store(inputs, "lint-inputs")
+    # only what the lint looks at: what is stored has to be computed
+    inputs = K.store(inputs.select("page_id", "host", "url", *S.LINT_COLUMNS), "lint-inputs")
     urls = inputs.select("page_id", "url", F.col("fact_labels").alias("declared_facts"))
     lint = S.lint_summary(S.page_lint(inputs, bots)).join(urls, "page_id")
     lint = lint.groupBy("url").agg(*[F.max(c).alias(c) for c in ("fail_count", "warn_count", "declared_facts")])  # pages of one URL
