@@ -302,16 +302,20 @@ def site_signal_merge(pages: DataFrame, key: str = "host", headings: int | None
     label = F.concat(F.lit("\n\n---\n[추가 페이지: "), U.path(F.col("url")), F.lit("]\n"))
     part = F.when(F.col("is_main"), F.col("content")).otherwise(F.concat(label, F.col("content")))
     sized = P.content_metrics(pages.withColumn("content", part)).withColumn("chars", F.length("content"))
+    sums = ["list_items", "tables", "images", "images_without_alt", "words", "chars", "long_blocks"]
+    # stored, so that signals are read once from each page, for the sums and the headings
+    sized = store(sized.select(key, "is_main", "place", "title", *sums, "text_ratio", "has_jsonld", "has_og", "h1_texts", "h2_texts"), "sized")
     merged = sized.groupBy(key).agg(
         F.min_by("title", "place").alias("title"),
         F.count(F.lit(1)).alias("page_count"),
-        *[F.sum(c).alias(c) for c in ("list_items", "tables", "images", "images_without_alt", "words", "chars", "long_blocks")],
+        *[F.sum(c).alias(c) for c in sums],
         F.bool_or("has_jsonld").alias("has_jsonld"),
         F.bool_or("has_og").alias("has_og"),
         (F.sum(F.col("text_ratio") * F.col("chars")) / F.greatest(F.sum("chars"), F.lit(1))).alias("text_ratio"),
     )
     listing = lists or headings is not None
-    distinct = store(_distinct_headings(pages, key), "headings") if listing else _distinct_headings(pages, key)
+    distinct = _distinct_headings(sized, key)
+    distinct = store(distinct, "headings") if listing else distinct
     counts = distinct.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("h1_count"), F.count_if(F.col("kind") == 1).alias("h2_count"))
     out = merged.join(counts, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("h1_count", "h2_count")})
     if not listing:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tellback.operators import benchmark as A
 from tellback.operators import experiment as E
+from tellback.operators import pages as P
 from tellback.operators import sites as S
 from tellback.sources import charset as CH
 from tellback.sources import sinks as K
@@ -209,3 +210,28 @@ def test_merged_sites_list_all_headings(spark):
     assert (got["b.example"].h1_texts, got["b.example"].h2_texts, got["b.example"].h2_count) == (["Top"], [], 0)
     # the query has them whole, and so has its SQL
     assert "h1_u[" not in catalog.ORACLES["site_signal_merge"] and "AS h2_texts, words" in catalog.ORACLES["site_signal_merge"]
+
+
+def test_merging_a_site_reads_its_pages_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    columns = "page_id long, host string, url string, usable boolean, title string, list_items long, tables long, images long, images_without_alt long, has_jsonld boolean, has_og boolean, h1_texts array<string>, h2_texts array<string>, content string"
+    rows = [(k, "a.example", f"https://a.example/p{k}", True, "t", 1, 0, 0, 0, False, False, ["Top"], [f"Own {k}"], "words") for k in range(50)]
+    pages = S.site_pages(spark.createDataFrame(rows, columns).mapInPandas(counted, columns))
+    before = read.value  # main pages are found by a read of their own
+    assert S.site_signal_merge(pages, lists=True).first().h2_count == 50
+    assert read.value - before == 50
+
+
+def test_lint_needs_its_columns_only(spark):
+    html = "<html><head><title>A is</title></head><body><h1>A</h1><h2>FAQ</h2><p>A is a robotics company. It sells things.</p></body></html>"
+    pages = spark.createDataFrame([(1, "a.example", "https://a.example/ai-profile", html)], "page_id long, host string, url string, html string")
+    inputs = S.lint_inputs(P.page_signals(pages))
+    bots = spark.createDataFrame([("a.example", 1)], "host string, bots_denied long")
+    checks = lambda df: sorted(tuple(r) for r in S.page_lint(df, bots).collect())
+    assert checks(inputs.select("page_id", "host", "url", *S.LINT_COLUMNS)) == checks(inputs)
