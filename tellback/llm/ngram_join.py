@@ -13,8 +13,8 @@ seventh of both sizes together (at a similarity of 0.75), and so leaves cells un
 * Nodes meet by an equi join on (band, cell, value). Cells that at most ``FEW`` nodes share give all their pairs; in
   larger ones each node meets the first. A large cell whose nodes are in one group by then is done, and a node with no more than
   ``SPARE`` others has met each partner in a smaller cell. What is left are dense groups of copies that differ in more than a
-  link allows; their blocks are compared on the whole sets, each pair of blocks in a task that yields only links between different
-  groups.
+  link allows; their blocks, which go by size, are compared on the whole sets, each pair of blocks whose sizes allow a link in a task
+  that yields only links between different groups.
 * Bit sketches (one bit per shingle, XORed) give a lower bound of the symmetric difference and discard most false pairs; the
   rest is verified on the whole sets. Groups come from ``groups.components``.
 """
@@ -26,7 +26,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellback.llm import util
@@ -246,13 +248,23 @@ def _meet(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "large boolean, a long, b long")
 
 
-def _contents(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """node, n, sketch and set of the nodes in ``wanted``. A filter of fixed size keeps most others out of the exact join."""
+def _sieve(values: DataFrame, name: str) -> Broadcast:
+    """A filter of fixed size that lets all values of a long column through, and few others."""
     words = 1 << (SIEVE_BITS - 6)
-    sieve = wanted.groupBy(F.expr(f"shiftrightunsigned(node, 6) & {words - 1}").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()
+    bits = values.groupBy(F.expr(f"shiftrightunsigned({name}, 6) & {words - 1}").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(words, np.int64)
-    table[sieve["word"].to_numpy()] = sieve["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    table[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    return values.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+
+def _in_sieve(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bits = values.view(np.uint64)
+    return (table[bits >> np.uint64(6) & np.uint64(len(table) - 1)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _contents(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """node, n, sketch and set of the nodes in ``wanted``. A filter of fixed size keeps most others out of the exact join."""
+    shared = _sieve(wanted, "node")
 
     def run(batches):
         seen: set[int] = set()
@@ -262,8 +274,7 @@ def _contents(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 if not len(s) or (name := node(s)) in seen:
                     continue
                 seen.add(name)
-                bits = name & (2**64 - 1)
-                if int(shared.value[bits >> 6 & (words - 1)]) >> (bits & 63) & 1:
+                if _in_sieve(shared.value, np.array([name]))[0]:
                     rows.append((name, len(s), bit_sketch(s), s.tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["node", "n", "sketch", "set"])
@@ -303,29 +314,105 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.where("root_a != root_b").select("a", "b")
 
 
+def _open_cells(held: DataFrame) -> DataFrame:
+    """Keys of cells whose nodes are in different groups. The rows (node, root, keys) of a batch are added up by key before they are dealt."""
+
+    def run(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            keys, count = _flat(rows["keys"])
+            root = np.repeat(rows["root"].to_numpy(), count)
+            order = np.lexsort((root, keys))
+            keys, root = keys[order], root[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(keys)) - 1 if len(keys) else first
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[first], root[first], root[last])], names=["key", "low", "high"])
+
+    found = held.mapInArrow(run, "key long, low long, high long")
+    return found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("key")
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the lists one after the other, and how many each has."""
+    whole = lists.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(whole).to_numpy(zero_copy_only=False)
+
+
+def _busy(held: DataFrame, cells: DataFrame) -> DataFrame:
+    """Nodes with more than the spare number of ``cells``, and these. A filter of fixed size may leave others too, which only adds comparisons."""
+    shared = _sieve(cells, "key")
+
+    def run(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            keys, count = _flat(rows["keys"])
+            at = np.repeat(np.arange(len(count)), count)
+            keep = _in_sieve(shared.value, keys)
+            keys, at = keys[keep], at[keep]
+            small = np.bincount(at, weights=keys & 1, minlength=len(count))
+            large = np.bincount(at, minlength=len(count)) - small
+            busy = (small > SPARE_SMALL) | (large > SPARE)
+            count = (small + large)[busy].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(keys[busy[at]], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[x].to_numpy()[busy]) for x in ("node", "root")), lists], names=["node", "root", "keys"])
+
+    return held.mapInArrow(run, "node long, root long, keys array<long>")
+
+
+def _cell_links(held: DataFrame) -> DataFrame:
+    """Pairs of cells that share nodes, enough of them to join all that do: for a batch each cell and the smallest one that it is joined with there."""
+
+    def run(batches):
+        for batch in batches:
+            keys, count = _flat(pa.Table.from_batches([batch])["keys"])
+            cell, at = np.unique(keys, return_inverse=True)
+            begin = np.cumsum(count) - count
+            least, before = np.arange(len(cell)), None
+            while not np.array_equal(least, before):
+                before = least.copy()
+                np.minimum.at(least, at, np.repeat(np.minimum.reduceat(least[at], begin) if len(begin) else begin, count))
+                least = least[least]
+            joined = least != np.arange(len(cell))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[least[joined]]), pa.array(cell[joined])], names=["a", "b"])
+
+    return held.mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (cluster, node, root, n) with a block, and the pairs (cluster, i, j) of blocks whose sizes allow a link.
+
+    The blocks of a cluster go by size, so that a node only meets blocks of about its own size.
+    """
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("n") / F.lit(BLOCK_SHINGLES))
+    up = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of the window are sizes, of which a cluster has few
+    sizes = nodes.groupBy("cluster", "n").agg(F.count("*").alias("many")).withColumn("before", F.coalesce(F.sum(F.col("many") * weight).over(up), F.lit(0.0)))
+    place = F.col("before") + weight * F.pmod(F.xxhash64("node", F.lit("block")), F.col("many"))
+    blocks = util.stored(nodes.join(sizes, ["cluster", "n"]).select("cluster", "node", "root", "n", F.floor(place).cast("int").alias("block")), "blocks")
+    ranges = util.stored(blocks.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "ranges")
+    other = ranges.select("cluster", F.col("block").alias("j"), F.col("low").alias("low_j"))
+    may = (F.col("i") == F.col("j")) | (F.col("i") < F.col("j")) & (F.col("high") * OF >= F.col("low_j") * SIMILAR)
+    return blocks, ranges.select("cluster", F.col("block").alias("i"), "high").join(other, "cluster").where(may).select("cluster", "i", "j")
+
+
 def _in_blocks(members: DataFrame, groups: DataFrame, contents: DataFrame) -> DataFrame:
     """Links between groups within large cells (key, node), enough of them to join what belongs together."""
-    rooted = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # one row for a node and all its cells, which its text bounds: no join or row for each (cell, node) from here on
+    held = members.groupBy("node").agg(F.collect_list("key").alias("keys")).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "keys")
+    held = util.stored(held, "held")
     for _ in range(3):  # each time fewer nodes make more cells be done
-        open_cells = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        # a node's cells, which its text bounds, are gathered in one row: whether it has more than the spare ones then takes no join
-        held = rooted.join(open_cells.select("key"), "key", "left_semi").groupBy("node", "root").agg(F.collect_list("key").alias("keys"))
-        small = F.size(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 1))
-        busy = held.where((small > SPARE_SMALL) | (F.size("keys") - small > SPARE))
-        rooted = util.stored(busy.select(F.explode("keys").alias("key"), "node", "root"), "open")
+        held = util.stored(_busy(held, _open_cells(held)), "open")
     # cells that share nodes make one cluster, so that no pair is looked at twice
-    # all nodes of a cell are linked to its smallest one, which is the same in most cells of a group
-    first = util.stored(rooted.groupBy("key").agg(F.min("node").alias("a")), "first")
-    cluster = components(rooted.join(first, "key").select("a", F.col("node").alias("b")).where("a != b").distinct()).select("node", F.col("root").alias("cluster"))
-    nodes = rooted.select("node", "root").distinct().join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    nodes = nodes.join(contents.select("node", "n"), "node")
-    sizes = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    cluster = components(_cell_links(held)).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    nodes = held.select("node", "root", F.array_min("keys").alias("key")).join(cluster, "key", "left").select("node", "root", F.coalesce("cluster", "key").alias("cluster"))
+    blocks, pairs = _block_pairs(nodes.join(contents.select("node", "n"), "node"))
+    tasks = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    tasks = tasks.groupBy("cluster", "block").agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
     dealt = (
-        nodes.join(sizes, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+        blocks.join(tasks, ["cluster", "block"])
         .join(contents.select("node", "set"), "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "set")
+        .withColumn("task", F.explode("tasks"))
+        .select("cluster", "task.i", "task.j", "block", "node", "root", "set")
     )
 
     def run(table: pa.Table) -> pa.Table:

@@ -94,6 +94,53 @@ def test_two_thousand_near_copies_of_one_text(spark):
     assert near.mean() < 0.8 and 1 < len(set(low.tolist())) < 60
 
 
+def test_nodes_of_large_cells_are_one_row_each(spark, monkeypatch):
+    """Whether cells are done and which hang together is found from a row for each node, not for each (cell, node)."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdef", k=6))
+    base, texts = [word() for _ in range(56)], []
+    for _ in range(120):
+        words = base[:]
+        for at in rnd.sample(range(56), 2):
+            words[at] = word()
+        texts.append(" ".join(words))
+    counts, stored = {}, util.stored
+
+    def spy(df, name):
+        out = stored(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(util, "stored", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs).collect()}
+    assert got == similar_groups([(k, k, t) for k, t in enumerate(texts)])
+    assert 50 < max(counts["open"]) <= len(texts) and max(counts.get("first", [0])) <= len(texts)
+
+
+def test_blocks_that_cannot_link_are_not_paired(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rnd = random.Random(5)
+    rows = [(k % 2, k, k, rnd.choice([8, 9, 10, 13, 30, 31, 44, 90])) for k in range(1, 120)]
+    blocks, pairs = ngram_join._block_pairs(spark.createDataFrame(rows, "cluster long, node long, root long, n long"))
+    block = {r.node: (r.cluster, r.block) for r in blocks.collect()}
+    found = [tuple(r) for r in pairs.collect()]
+    paired = set(found)
+    assert len(block) == len(rows) and len(paired) == len(found)
+    for c, a, _, n in rows:
+        for d, b, _, m in rows:
+            if c == d and 100 * min(n, m) >= 75 * max(n, m):
+                assert (c, *sorted((block[a][1], block[b][1]))) in paired
+    every = len({b for c, b in block.values() if c == 0})
+    assert len([p for p in paired if p[0] == 0]) < every * (every + 1) / 2 * 0.7
+
+
+def test_cells_of_shared_nodes_hang_together(spark):
+    held = spark.createDataFrame([(1, 1, [8, 3, 5]), (2, 2, [5, 9, 11]), (3, 3, [20, 30, 40]), (4, 4, [11, 2, 17])], "node long, root long, keys array<long>")
+    links = ngram_join._cell_links(held.repartition(2))
+    assert {r.node: r.root for r in ngram_join.components(links).collect()} == {k: 2 for k in (3, 5, 8, 9, 11, 17)} | {30: 20, 40: 20}
+
+
 def test_sketches_bound_the_difference():
     rnd = random.Random(1)
     for _ in range(50):
